@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents, tokenizer_path
+from . import kd_search, language, quality, toxicity
+from .common import documents, fold, tokenizer_path
 from .packing import pack_documents
 from .sentencepiece_bpe import encode_decode
 from .token_files import read_token_files, write_token_files
@@ -14,6 +16,37 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op2_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return kd_search.top_k(vectors.where(F.col("vec_id") % 50 == 0), kd_search.build_index(vectors), k=5)
+
+
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = language.predict_languages(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 4) != 2)
+
+
+def _scored(docs: DataFrame, model, threshold: float) -> DataFrame:
+    scored = docs.select(F.col("doc_id"), (fold(F.col("doc_id"), 4) == 2).alias("held_out"), quality.score_column(docs, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(docs, quality.fit(docs, _labels(spark, sf_dir)), 0.7)
+
+
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(docs, toxicity.fit(docs, _labels(spark, sf_dir)), 0.3)
+
+
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -22,5 +55,16 @@ def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op8_vector_packing, op10_sentencepiece_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_kd_topk, op3_crf_language, op6_rff_quality, op7_toxicity_grammar, op8_vector_packing, op10_sentencepiece_bpe)}
+
+#: DuckDB, over the same tables.
+ORACLES: dict[str, str] = {
+    "op2_kd_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score
+      from v q join v on v.vec_id <> q.vec_id and len(v.e) = len(q.e) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+}
