@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import kd_search, language, quality, toxicity
 from .common import documents, fold, tokenizer_path
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sentencepiece_bpe import encode_decode
 from .token_files import read_token_files, write_token_files
@@ -28,6 +29,10 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), 85)
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 4) != 2)
 
@@ -55,7 +60,7 @@ def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_kd_topk, op3_crf_language, op6_rff_quality, op7_toxicity_grammar, op8_vector_packing, op10_sentencepiece_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_kd_topk, op3_crf_language, op5_hyperminhash, op6_rff_quality, op7_toxicity_grammar, op8_vector_packing, op10_sentencepiece_bpe)}
 
 #: DuckDB, over the same tables.
 ORACLES: dict[str, str] = {
@@ -67,4 +72,14 @@ s as (select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) a
       from v q join v on v.vec_id <> q.vec_id and len(v.e) = len(q.e) where q.vec_id % 50 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+    "op5_hyperminhash": """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+             else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+e as (select doc_id, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+l as (select p.a, p.b from p join s sa on sa.doc_id = p.a join s sb on sb.doc_id = p.b where 100 * p.i >= 85 * (len(sa.sh) + len(sb.sh) - p.i)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from s join (select a as doc_id, min(b) as component_id from r group by a) c on c.doc_id = s.doc_id""",
 }
