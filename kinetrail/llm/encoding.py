@@ -23,7 +23,7 @@ import numpy as np
 #: Fixed value: the pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHE = 400_000
+CACHE = 800_000
 LONG = 48
 
 
@@ -105,8 +105,9 @@ class PreTokenEncoder:
         open_ = [i for i, x in enumerate(done) if None in x]
         missing = {p for i in open_ for p, v in zip(split[i], done[i]) if v is None}
         odd: set[str] = set()
-        if _odd().search("\n".join(missing)):
-            odd = {p for p in missing if _odd().search(p)}
+        suspects = [p for p in missing if not p.isascii() or not p.isprintable()]
+        if suspects and _odd().search("\n".join(suspects)):
+            odd = {p for p in suspects if _odd().search(p)}
             for i in open_:
                 if not odd.isdisjoint(split[i]):
                     split[i] = _exact().findall(texts[i])
@@ -118,8 +119,10 @@ class PreTokenEncoder:
             fresh = dict(zip(missing, self.encode_many(missing)))
             for i in open_:
                 done[i] = [fresh[p] if v is None else v for p, v in zip(split[i], done[i])]
-            if len(self.cache) > CACHE:
+            if len(self.cache) > CACHE:  # what these texts use stays: it holds the common pre-tokens
+                kept = {p: self.cache[p] for p in set().union(*split) if p in self.cache}
                 self.cache.clear()
+                self.cache.update(kept)
             self.cache.update((p, v) for p, v in fresh.items() if len(p) <= LONG and p not in odd)
         return done
 
