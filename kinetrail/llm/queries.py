@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_search, language, quality, toxicity
+from . import kd_search, language, progressive_jpeg, quality, toxicity
 from .common import documents, fold, tokenizer_path
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .preferences import format_preferences, self_pairs
 from .sentencepiece_bpe import encode_decode
 from .token_files import read_token_files, write_token_files
 
@@ -29,6 +30,11 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return format_preferences(self_pairs(turns), "conv_id")
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), 85)
 
@@ -56,11 +62,15 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.read_back(progressive_jpeg.store_texts(documents(spark, sf_dir)))
+
+
 def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_kd_topk, op3_crf_language, op5_hyperminhash, op6_rff_quality, op7_toxicity_grammar, op8_vector_packing, op10_sentencepiece_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_kd_topk, op3_crf_language, op4_preferences, op5_hyperminhash, op6_rff_quality, op7_toxicity_grammar, op8_vector_packing, op9_progressive_jpeg, op10_sentencepiece_bpe)}
 
 #: DuckDB, over the same tables.
 ORACLES: dict[str, str] = {
@@ -82,4 +92,19 @@ l as (select p.a, p.b from p join s sa on sa.doc_id = p.a join s sb on sb.doc_id
 r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
 select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
 from s join (select a as doc_id, min(b) as component_id from r group by a) c on c.doc_id = s.doc_id""",
+    "op4_preferences": """
+with t as (select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations),
+l as (select conv_id, max(turn) filter (role = 'assistant') as last from t group by conv_id),
+p as (select t.conv_id, max_by(t.text, t.turn) as earlier from t join l on l.conv_id = t.conv_id and t.role = 'assistant' and t.turn < l.last group by t.conv_id),
+c as (select l.conv_id, l.last, t.text as good, coalesce(p.earlier, '') as bad
+      from l left join t on t.conv_id = l.conv_id and t.turn = l.last left join p on p.conv_id = l.conv_id),
+h as (select c.conv_id, c.last, c.good, c.bad, count(t.turn) as n,
+             coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' order by t.turn), '') as prompt
+      from c left join t on t.conv_id = c.conv_id and (c.last is null or t.turn < c.last or (t.turn = c.last and c.good = c.bad)) group by all)
+select conv_id, cast(n as bigint) as prompt_turns, prompt,
+       case when last is null then null when good = bad then '' else '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) end as chosen,
+       case when last is null then null when good = bad then '' else '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) end as rejected,
+       case when last is null then null when good = bad then '' else '14-' || cast(14 + length(good) + 8 as varchar) end as chosen_mask,
+       case when last is null then null when good = bad then '' else '14-' || cast(14 + length(bad) + 8 as varchar) end as rejected_mask
+from h""",
 }
