@@ -22,7 +22,6 @@ import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ SEGMENT = 64
 FIT_DOCS = 250
 MAX_LANGS = 64
 BUCKETS = 1 << 17
-CACHE = 300_000
+CACHE = 800_000
 _SLICE = 512
 
 
@@ -45,21 +44,44 @@ def tokens(text: str) -> list[str]:
     return found
 
 
-def features(token: str, lexicon: frozenset) -> list[int] | None:
-    """Hash buckets (from 1) of a token's features; None without a letter."""
+def letters(token: str) -> str:
+    """A token's letters in lower case."""
     word = token.lower()
-    if not word.isalpha():
-        word = "".join(c for c in word if c.isalpha())
-        if not word:
-            return None
-    raw = word.encode("utf-8", "surrogatepass")
-    out = [crc32(raw, 1)] if word in lexicon else []
-    n = len(word)
-    for k in range(1, min(4, n) + 1):
-        out += crc32(word[:k].encode("utf-8", "surrogatepass"), 2), crc32(word[-k:].encode("utf-8", "surrogatepass"), 3)
-    for k in (2, 3):
-        out += [crc32(word[i : i + k].encode("utf-8", "surrogatepass"), 4) for i in range(n - k + 1)]
-    return [h % (BUCKETS - 1) + 1 for h in out]
+    if not word.isalpha() and not (word := word.strip(".,;:!?\"'()|*#$%&-")).isalpha():
+        word = "".join(filter(str.isalpha, word))
+    return word
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash buckets from 1, number of features) of each non-empty word, all words' at once, word after word."""
+    sizes = np.fromiter(map(len, words), "i8", len(words))
+    code = np.frombuffer(("".join(words) + "   ").encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
+    ends = np.cumsum(sizes)
+    starts, n = ends - sizes, int(ends[-1])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = ends[owner] - np.arange(n)  # letters from here to the word's end
+    rolled, of, bucket = np.zeros(n, "u8"), [], []
+
+    def put(kind: int, words_: np.ndarray, h: np.ndarray) -> None:
+        h = (h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        of.append(words_)
+        bucket.append(((h >> np.uint64(32)) % np.uint64(BUCKETS - 1)).astype("i8") + 1)
+
+    for k in range(1, 5):
+        rolled = rolled * np.uint64(1000003) + code[k - 1 : n + k - 1]
+        long = np.flatnonzero(sizes >= k)
+        put(10 + k, long, rolled[starts[long]])
+        put(20 + k, long, rolled[ends[long] - k])
+        if k in (2, 3):
+            at = np.flatnonzero(left >= k)
+            put(30 + k, owner[at], rolled[at])
+    known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    if known:
+        i, place = np.array(known).T
+        put(1, i, place.astype("u8"))
+    of, bucket = np.concatenate(of), np.concatenate(bucket)
+    return bucket[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 @dataclass
@@ -68,7 +90,7 @@ class LanguageModel:
     weights: np.ndarray  # (BUCKETS, langs); bucket 0 is empty
     transitions: np.ndarray
     first: np.ndarray
-    lexicon: frozenset = frozenset()
+    lexicon: dict[str, int] = field(default_factory=dict)
     _cache: dict = field(default_factory=dict, repr=False)
     _rows: np.ndarray | None = field(default=None, repr=False)
 
@@ -76,7 +98,8 @@ class LanguageModel:
         """Row numbers of each text's tokens with letters, and the rows' exp(emission); rows are kept a worker long."""
         get = self._cache.get
         done = [list(map(get, x)) for x in split]
-        missing = {t for x, d in zip(split, done) if None in d for t, v in zip(x, d) if v is None}
+        open_ = [i for i, d in enumerate(done) if None in d]
+        missing = {t for i in open_ for t, v in zip(split[i], done[i]) if v is None}
         if missing:
             if len(self._cache) > CACHE:
                 self._cache.clear()
@@ -84,18 +107,19 @@ class LanguageModel:
                 return self.emissions(split)
             fresh, base = [], 0 if self._rows is None else len(self._rows)
             for t in missing:
-                f = features(t, self.lexicon)
-                if f is None:
-                    self._cache[t] = -1
-                else:
+                word = letters(t)
+                if word:
                     self._cache[t] = base + len(fresh)
-                    fresh.append(f)
+                    fresh.append(word)
+                else:
+                    self._cache[t] = -1
             if fresh:
-                sizes = np.array([len(f) for f in fresh])
-                summed = np.add.reduceat(self.weights[np.concatenate([np.array(f) for f in fresh])], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+                buckets, sizes = features(fresh, self.lexicon)
+                summed = np.add.reduceat(self.weights[buckets], np.cumsum(sizes) - sizes, axis=0)
                 rows = np.exp(summed - summed.max(1, keepdims=True)).astype("f4")
                 self._rows = rows if self._rows is None else np.vstack([self._rows, rows])
-            done = [list(map(get, x)) if None in d else d for x, d in zip(split, done)]
+            for i in open_:
+                done[i] = [get(t) if v is None else v for t, v in zip(split[i], done[i])]
         rows = [np.array(d, "i4") for d in done]
         return [r[r >= 0] for r in rows], self._rows
 
@@ -168,18 +192,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
     draw, n = np.random.default_rng(seed), len(langs)
     split = [tokens(t) for t in texts]
     seen = Counter(w for x in split for w in {t.lower() for t in x})
-    lexicon = frozenset(w for w, c in seen.items() if c >= 5)
+    lexicon = {w: i for i, w in enumerate(sorted(w for w in {letters(w) for w, c in seen.items() if c >= 5} if w))}
     number: dict[str, int] = {}
-    table: list[list[int]] = []
+    words: list[str] = []
     segments, gold = [], []
     for x, lang in zip(split, labels):
         ids = []
         for t in x:
             if t not in number:
-                f = features(t, lexicon)
-                number[t] = -1 if f is None else len(table)
-                if f is not None:
-                    table.append(f[:40])
+                word = letters(t)
+                number[t] = len(words) if word else -1
+                if word:
+                    words.append(word)
             if number[t] >= 0:
                 ids.append(number[t])
         for i in range(0, len(ids) - len(ids) % length, length):
@@ -190,10 +214,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
             gold.append(langs.index(lang))
     if not segments:
         return LanguageModel(langs, np.zeros((BUCKETS, n), "f4"), np.zeros((n, n)), np.zeros(n), lexicon)
-    width = max(map(len, table))
-    padded = np.zeros((len(table), width), "i4")
-    for i, f in enumerate(table):
-        padded[i, : len(f)] = f
+    buckets, sizes = features(words, lexicon)
+    width = min(48, int(sizes.max()))  # of a long word's features the first 48 take part in the fit
+    column = np.arange(len(buckets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    padded = np.zeros((len(words), width), "i4")
+    padded[np.repeat(np.arange(len(words)), sizes)[column < width], column[column < width]] = buckets[column < width]
     x = np.array(segments)
     y = np.repeat(np.array(gold)[:, None], length, 1)
     k = len(x) // 5
