@@ -78,7 +78,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str | None = None, e
     uri = uri or scratch(spark, "tokens")
     shards = shards or shuffle_partitions(spark)
     quantiles = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 20 * shards).alias("q")).first()
-    bounds = sorted(set(quantiles.q or [])) if quantiles else []
+    bounds = sorted(set(quantiles.q or [])) if shards > 1 else []
     wide = vocabulary_size(tokenizer) > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
 

@@ -50,7 +50,7 @@ LEXICON = {
 }
 KINDS = ("bare", "aimed", "denied", "reported", "threat", "threat_denied", "coded")
 #: Of each kind's log count, of coded words from the second on, of their share of the words, and of 1.
-_DEFAULT = np.array([2.5, 3.0, 0.2, 0.4, 3.0, 0.2, 0.5, 0.0, 0.0, -4.0])
+_DEFAULT = np.array([5.0, 6.0, 0.3, 0.6, 6.0, 0.3, 0.5, 0.0, 0.0, -4.0])
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _END = re.compile(r"[.!?;:\n]")
@@ -65,8 +65,11 @@ class Transducer:
     def step(self, state, symbol):
         return self.arcs.get(state, {}).get(symbol, (state, None))
 
-    def compose(self, other: Transducer, symbols) -> Transducer:
-        """This machine, then *other* on what this one emits (or the symbol itself where it emits nothing)."""
+    def compose(self, other: Transducer, symbols, final: bool = False) -> Transducer:
+        """This machine, then *other* on what this one emits (or the symbol itself where it emits nothing).
+
+        What *other* does not rewrite passes through, unless it is *final*.
+        """
         start, arcs = (self.start, other.start), {}
         todo = [start]
         while todo:
@@ -77,7 +80,7 @@ class Transducer:
             for symbol in symbols:
                 s, out = self.step(state[0], symbol)
                 t, said = other.step(state[1], out or symbol)
-                arcs[state][symbol] = (s, t), said
+                arcs[state][symbol] = (s, t), said if final else said or out
                 todo.append((s, t))
         return Transducer(arcs, start)
 
@@ -95,7 +98,7 @@ def clause_machine() -> Transducer:
     score[1] |= {THREAT: (1, "threat")}
     score[2] = score[0] | {TARGET: (1, "threat")}
     symbols = (*LEXICON, CODED)
-    return report.compose(negate, symbols).compose(Transducer(score), symbols)
+    return report.compose(negate, symbols).compose(Transducer(score), symbols, final=True)
 
 
 @dataclass
