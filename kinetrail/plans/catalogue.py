@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elbow import elbow_index
 from ..functions.geometry import near_pairs, pairwise_distances, periodic_mean, point, recenter, time_average
-from ..operators import clustering, descriptors, graph, landmarks, merging, pathways, positions, series, trajectory
+from ..operators import clustering, descriptors, graph, landmarks, merging, pathways, plots, positions, series, trajectory
 from ..operators import jump_statistics as js
 from ..operators.network import SiteNetwork, index_atoms
 from . import fixtures as fx
@@ -597,6 +597,21 @@ def periodic_pathways(spark, sf_dir):
     return pathways.periodic_pathways(_threshold(spark, sf_dir), _nation_sites(spark, sf_dir), CELL, 2)[0]
 
 
+def _segments_sql() -> str:
+    rows = " union all ".join(f"select src, dst, v, back, {code} as code, sqrt(pow({q[0]} - ax, 2) + pow({q[1]} - ay, 2) + pow({q[2]} - az, 2)) as dist from p" for code, q in fx.sql_images(("ex", "ey", "ez")))
+    return f"""with {_COUNTS}, {fx.CENTERS}, p as (select f.src, f.dst, f.n_ij as v, r.n_ij as back, a.x as ax, a.y as ay, a.z as az, b.x as ex, b.y as ey, b.z as ez
+from nij f left join nij r on r.src = f.dst and r.dst = f.src join ct a on a.id = f.src join ct b on b.id = f.dst where f.src <> f.dst and f.n_ij > 2),
+i as ({rows}), m as (select src, dst, v, back, arg_min(code, (round(dist, 9), code)) as code, min(dist) as dist from i group by all)
+select src, dst, round(dist, 6) as length, (v + coalesce(back, 0)) / 2 as value, code <> 111 as outside from m where code <> 111 or src < dst or not coalesce(back > 2, false)"""
+
+
+@query(_segments_sql())
+def edge_segments(spark, sf_dir):
+    found = plots.edge_segments(_threshold(spark, sf_dir), "n_ij", _nation_sites(spark, sf_dir), CELL, 2)
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2) + F.pow(F.col("z2") - F.col("z1"), 2))
+    return found.select("src", "dst", _r(length).alias("length"), "value", "outside")
+
+
 # ---- landmarks
 
 
