@@ -22,8 +22,8 @@ import numpy as np
 
 #: Fixed value: the pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHE = 800_000
+_PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+CACHE = 1_000_000
 LONG = 48
 
 
@@ -102,23 +102,24 @@ class PreTokenEncoder:
         texts = list(texts)
         split = [_PLAIN.findall(t) for t in texts]
         done = [list(map(get, x)) for x in split]
-        open_ = [i for i, x in enumerate(done) if None in x]
-        missing = {p for i in open_ for p, v in zip(split[i], done[i]) if v is None}
+        holes = _holes(done, range(len(done)))
+        missing = {split[i][k] for i, k in holes}
         odd: set[str] = set()
         suspects = [p for p in missing if not p.isascii() or not p.isprintable()]
         if suspects and _odd().search("\n".join(suspects)):
             odd = {p for p in suspects if _odd().search(p)}
-            for i in open_:
-                if not odd.isdisjoint(split[i]):
-                    split[i] = _exact().findall(texts[i])
-                    done[i] = list(map(get, split[i]))
-            missing = {p for i in open_ for p, v in zip(split[i], done[i]) if v is None}
+            again = {i for i, k in holes if split[i][k] in odd}
+            for i in again:
+                split[i] = _exact().findall(texts[i])
+                done[i] = list(map(get, split[i]))
+            holes = [h for h in holes if h[0] not in again] + _holes(done, again)
+            missing = {split[i][k] for i, k in holes}
             odd |= {p for p in missing if _odd().search(p)}
         if missing:
             missing = list(missing)
             fresh = dict(zip(missing, self.encode_many(missing)))
-            for i in open_:
-                done[i] = [fresh[p] if v is None else v for p, v in zip(split[i], done[i])]
+            for i, k in holes:
+                done[i][k] = fresh[split[i][k]]
             if len(self.cache) > CACHE:  # what these texts use stays: it holds the common pre-tokens
                 kept = {p: self.cache[p] for p in set().union(*split) if p in self.cache}
                 self.cache.clear()
@@ -127,6 +128,20 @@ class PreTokenEncoder:
         return done
 
 
+def _holes(lists: list[list], which: Iterable[int]) -> list[tuple[int, int]]:
+    """Where lists hold None."""
+    out = []
+    for i in which:
+        find, k = lists[i].index, -1
+        try:
+            while True:
+                k = find(None, k + 1)
+                out.append((i, k))
+        except ValueError:
+            pass
+    return out
+
+
 class WholeTextEncoder:
     """Any other tokenizer file: the library encodes whole texts."""
 
@@ -153,14 +168,10 @@ def library_encoder(path: str):
         return WholeTextEncoder(tokenizer)
     tokenize = tokenizer.model.tokenize
 
+    space = as_symbols(" ")
+
     def encode_many(pieces: list[str]) -> list[bytes]:
-        symbols = "\n".join(pieces)  # one translation for all; a new line within a piece is put back below
-        if symbols.isascii() and symbols.count("\n") == len(pieces) - 1:
-            mapped = symbols.replace(" ", as_symbols(" ")).split("\n")
-            if "\t" in symbols or not symbols.replace("\n", "").isprintable():
-                mapped = map(as_symbols, pieces)
-        else:
-            mapped = map(as_symbols, pieces)
+        mapped = [p.replace(" ", space) if p.isascii() and p.isprintable() else as_symbols(p) for p in pieces]
         return [array("I", [t.id for t in tokenize(m)]).tobytes() for m in mapped]
 
     return PreTokenEncoder(encode_many)
