@@ -48,6 +48,8 @@ SHINGLE = 5
 BLOCK = 512
 #: Rows a broadcast may have; beyond it the same join is a shuffle.
 BROADCAST_ROWS = 500_000
+#: Pairs of one key that a task should have at most.
+HOT_PAIRS = 256
 _SLICE = 512
 _CACHE = 400_000
 _words: dict[bytes, int] = {}
@@ -217,12 +219,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """Join on *key* with the pairs of a hot key dealt to several tasks by *by*, and its row of *side* sent to each.
+
+    Keys with at least a thousandth of the pairs are hot: a thousand at most.
+    """
+    total = pairs.count()
+    counts = pairs.groupBy(key).count().where(F.col("count") > max(HOT_PAIRS, total // 1000))
+    hot = F.broadcast(stored(counts.select(key, F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("__parts")), "hot"))
+    dealt = pairs.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts"))).cast("int")).drop("__parts")
+    copies = side.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = stored(_sets(docs, ids, id_col, text_col), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    two = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    two = _spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     links = two.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u"))
     links = stored(links.where(F.lit(100) * F.col("i") >= F.lit(percent) * F.col("u")).select("a", "b").distinct(), "links")
@@ -234,7 +248,7 @@ def _star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     """Each bucket's members with its smallest one, where sizes and estimate leave hope."""
     rows = reps.select("id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    pairs = rows.join(buckets, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = stored(rows.join(buckets, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star")
     side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
 
     @F.pandas_udf("boolean")
@@ -242,7 +256,7 @@ def _star_pairs(reps: DataFrame, percent: int) -> DataFrame:
         grid = lambda r: np.frombuffer(b"".join(r), "u2").reshape(len(r), BUCKETS)
         return pd.Series(hopeful((grid(ra) == grid(rb)).mean(1), na.to_numpy(), nb.to_numpy(), percent))
 
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    joined = _spread_join(pairs, side("a"), "a", "b").join(side("b"), "b")
     sized = joined.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
     return sized.where(hope("ra", "rb", "na", "nb")).select("a", "b")
 
