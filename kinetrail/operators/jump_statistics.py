@@ -35,12 +35,18 @@ def jump_lags(eff: DataFrame, count_rows: bool = False) -> DataFrame:
     return moved.groupBy("src", "dst").agg(F.avg("lag").alias("jump_lag"))
 
 
+def transitions(eff: DataFrame) -> DataFrame:
+    """(src, dst, n_ij, jump_lag): both statistics of each pair by one aggregate per frame and one over frames."""
+    moves = eff.where("both_known").select("frame", F.col("last_known").alias("src"), F.col("effective").alias("dst"), "mobile", "lag")
+    frames = moves.groupBy("frame", "src", "dst").agg(F.max_by("lag", "mobile").alias("lag"))
+    return frames.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n_ij"), F.avg(F.when(F.col("src") != F.col("dst"), F.col("lag"))).alias("jump_lag"))
+
+
 def edge_statistics(eff: DataFrame, legacy: bool = False) -> DataFrame:
     """(src, dst, n_ij, p_ij, jump_lag). p_ij divides by the time at src; *legacy* divides by the time at dst."""
     by = "dst" if legacy else "src"
     time = corrected_residences(eff).select(F.col("site_id").alias(by), F.col("total_corrected_residences").alias("__t"))
-    counts = transition_counts(eff).join(time, by, "left").withColumn("p_ij", F.col("n_ij") / F.col("__t")).drop("__t")
-    return counts.join(jump_lags(eff), ["src", "dst"], "left").select("src", "dst", "n_ij", "p_ij", "jump_lag")
+    return transitions(eff).join(time, by, "left").select("src", "dst", "n_ij", (F.col("n_ij") / F.col("__t")).alias("p_ij"), "jump_lag")
 
 
 def residence_times(lags: DataFrame, sites: DataFrame, n_frames: int) -> DataFrame:

@@ -57,8 +57,7 @@ def _r(c, n: int = 6):
 
 @query(f"with {fx.DAILY}, {_eff('d')} select nij.src, nij.dst, n_ij, round(jump_lag, 6) as jump_lag from nij left join lg on lg.src = nij.src and lg.dst = nij.dst")
 def jump_stats(spark, sf_dir):
-    eff = series.effective(fx.daily(spark, sf_dir))
-    return js.transition_counts(eff).join(js.jump_lags(eff), ["src", "dst"], "left").select("src", "dst", "n_ij", _r("jump_lag").alias("jump_lag"))
+    return js.transitions(series.effective(fx.daily(spark, sf_dir))).withColumn("jump_lag", _r("jump_lag"))
 
 
 @query(f"with {fx.EVENTS}, p as (select *, coalesce(last_value(nullif(site, -1) ignore nulls) over {BEFORE}, -1) as from_site from ev) select frame, mobile, from_site, site as to_site from p where frame > 0 and site >= 0 and site <> from_site")

@@ -102,6 +102,8 @@ def test_statistics_equal_a_loop(spark, seed):
     assert {(r.src, r.dst): r.n_ij for r in js.transition_counts(eff).collect()} == nij
     assert {r.site_id: r.total_corrected_residences for r in js.corrected_residences(eff).collect()} == total
     assert {(r.src, r.dst): r.jump_lag for r in js.jump_lags(eff).collect()} == pytest.approx(lag)
+    both = js.transitions(eff).collect()
+    assert {(r.src, r.dst): r.n_ij for r in both} == nij and {(r.src, r.dst): r.jump_lag for r in both if r.jump_lag is not None} == pytest.approx(lag)
 
 
 def test_entropy_of_two_equal_sites(spark):
