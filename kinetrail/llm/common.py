@@ -55,19 +55,30 @@ def arrow_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class AtomicFile:
+    """A file written under a temporary name and moved into place by :meth:`close`, so that a repeated task does no harm."""
+
+    def __init__(self, uri: str):
+        self.filesystem, self.path = arrow_fs(uri)
+        self.filesystem.create_dir(os.path.dirname(self.path), recursive=True)
+        self.temp = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.stream = self.filesystem.open_output_stream(self.temp)
+        self.write = self.stream.write
+
+    def close(self) -> None:
+        self.stream.close()
+        try:
+            self.filesystem.move(self.temp, self.path)
+        except OSError:  # stores whose rename does not replace
+            self.filesystem.delete_file(self.path)
+            self.filesystem.move(self.temp, self.path)
+
+
 def write_atomic(uri: str, chunks) -> None:
-    """Write byte chunks under a temporary name and move them into place, so that a repeated task does no harm."""
-    filesystem, path = arrow_fs(uri)
-    filesystem.create_dir(os.path.dirname(path), recursive=True)
-    temp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with filesystem.open_output_stream(temp) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    try:
-        filesystem.move(temp, path)
-    except OSError:  # stores whose rename does not replace
-        filesystem.delete_file(path)
-        filesystem.move(temp, path)
+    out = AtomicFile(uri)
+    for chunk in chunks:
+        out.write(chunk)
+    out.close()
 
 
 def fold(doc_id: Column, k: int) -> Column:

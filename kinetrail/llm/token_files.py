@@ -25,6 +25,7 @@ import os
 import struct
 import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, scratch, shuffle_partitions, write_atomic
+from .common import AtomicFile, arrow_fs, scratch, shuffle_partitions, write_atomic
 from .encoding import library_encoder, vocabulary_size
 
 _HEADER = "<8sIIQQ"
@@ -80,14 +81,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str | None = None, e
     quantiles = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 20 * shards).alias("q")).first()
     bounds = sorted(set(quantiles.q or [])) if shards > 1 else []
     wide = vocabulary_size(tokenizer) > 1 << 16 or end_id >= 1 << 16
-    kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, ids, offsets, keys, nulls in _shards(batches, kind):
-            n, total = len(keys), int(offsets[-1])
-            write_atomic(f"{uri}/shard-{shard:06d}.bin", ids)
-            write_atomic(f"{uri}/shard-{shard:06d}.idx", [struct.pack(_HEADER, _MAGIC, 4 if wide else 2, 0, n, total), offsets.tobytes(), keys.tobytes(), nulls.tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([total], pa.int64())], ["shard", "n_tokens"])
+        writer = None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([writer.shard], pa.int32()), pa.array([writer.close()], pa.int64())], ["shard", "n_tokens"])
+
+        for batch in batches:
+            for shard, key, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if writer is None or shard != writer.shard:
+                    if writer is not None:
+                        yield done()
+                    writer = ShardWriter(uri, shard, 4 if wide else 2)
+                writer.add(key, x)
+        if writer is not None:
+            yield done()
 
     encoded = encode_documents(docs, tokenizer, bounds, end_id, wide, id_col, text_col)
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
@@ -95,23 +104,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str | None = None, e
     return TokenFiles(uri, tuple(found.get(i, 0) for i in range(len(bounds) + 1)) if found else ())
 
 
-def _shards(batches, kind):
-    """A partition's rows as whole shards: (shard, id chunks, offsets, keys, null flags)."""
-    now, ids, lengths, keys, nulls = None, [], [0], [], []
-    width = np.dtype(kind).itemsize
-    pack = lambda: (now, ids, np.cumsum(np.array(lengths, "<u8"), dtype="<u8"), np.array(keys, "<i8"), np.array(nulls, "u1"))
-    for batch in batches:
-        for shard, key, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if shard != now:
-                if now is not None:
-                    yield pack()
-                now, ids, lengths, keys, nulls = shard, [], [0], [], []
-            ids.append(x)
-            lengths.append(len(x) // width)
-            keys.append(key or 0)
-            nulls.append(key is None)
-    if now is not None:
-        yield pack()
+class ShardWriter:
+    """Streams a shard's ids to its file and keeps only lengths and document ids."""
+
+    def __init__(self, uri: str, shard: int, width: int):
+        self.uri, self.shard, self.width = f"{uri}/shard-{shard:06d}", shard, width
+        self.data, self.lengths, self.keys, self.nulls = AtomicFile(f"{self.uri}.bin"), array("q"), array("q"), bytearray()
+
+    def add(self, key: int | None, ids: bytes) -> None:
+        self.data.write(ids)
+        self.lengths.append(len(ids) // self.width)
+        self.keys.append(key or 0)
+        self.nulls.append(key is None)
+
+    def close(self) -> int:
+        """Both files in place; the number of ids."""
+        self.data.close()
+        n, offsets = len(self.keys), np.concatenate([[0], np.cumsum(np.array(self.lengths, "i8"))]).astype("<u8")
+        head = struct.pack(_HEADER, _MAGIC, self.width, 0, n, int(offsets[-1]))
+        write_atomic(f"{self.uri}.idx", [head, offsets.tobytes(), np.array(self.keys, "<i8").tobytes(), bytes(self.nulls)])
+        return int(offsets[-1])
 
 
 class Shard:
