@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 SEGMENT = 64
 FIT_DOCS = 250
+#: Longer documents take no part in the fit, whose texts are held by the driver.
+FIT_CHARS = 100_000
 MAX_LANGS = 64
 BUCKETS = 1 << 17
-CACHE = 800_000
+CACHE = 600_000
 _SLICE = 512
 
 
@@ -263,7 +265,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
 def fit(docs: DataFrame, per_lang: int = FIT_DOCS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Fit to a hash sample of labelled documents; only ids of bounded number are broadcast, only their texts collected."""
     key, lang = F.col(id_col).cast("long").alias("__key"), F.col(lang_col).cast("string").alias("__lang")
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(key, lang)
+    named = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= FIT_CHARS) & F.col(id_col).isNotNull()).select(key, lang)
     counts = named.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGS).collect()
     if not counts:
         return train([], [])

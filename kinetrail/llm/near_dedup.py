@@ -51,12 +51,19 @@ BROADCAST_ROWS = 500_000
 #: Pairs of one key that a task should have at most.
 HOT_PAIRS = 256
 _SLICE = 512
-_CACHE = 400_000
+_CACHE = 200_000
 _words: dict[bytes, int] = {}
 
 _SKETCH = "id long, n int, f1 long, f2 long, bands array<long>, registers binary"
 
 
+def _forget() -> None:
+    """At a task's end: workers live on, and other stages want their memory."""
+    _words.clear()
+    gc.enable()
+    gc.collect()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))
@@ -179,6 +186,8 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ["id", "n", "f1", "f2", "bands", "registers"],
                 )
 
+        _forget()
+
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _SKETCH)
 
 
@@ -189,6 +198,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
         gc.disable()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).astype("i8") for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "shingles"])
+        _forget()
 
     wanted = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")

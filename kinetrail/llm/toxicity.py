@@ -25,10 +25,13 @@ from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .quality import sample_labelled
 
 FIT_ROWS = 6000
+#: Longer documents take no part in the fit, whose texts are held by the driver.
+FIT_CHARS = 100_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, CODED = "ITYNRC"
 LEXICON = {
@@ -134,6 +137,10 @@ class ToxicityModel:
 
     def clauses(self, text: str) -> list[tuple[str, list[str]]]:
         """(clause, outcomes) of each clause that the grammar matches."""
+        return [(clause, [said for said, _ in outcomes]) for clause, outcomes in self.matches(text)]
+
+    def matches(self, text: str) -> list[tuple[str, list[tuple[str, str]]]]:
+        """(clause, (outcome, word that brought it about)) of each clause that the grammar matches."""
         matcher, of, machine = self.ready()
         low, found, done, stems = text.lower(), [], -1, self.stems
         for last, n in matcher.iter(low):
@@ -151,14 +158,15 @@ class ToxicityModel:
                 if kind:
                     state, said = machine.step(state, kind)
                     if said:
-                        outcomes.append(said)
+                        outcomes.append((said, m[0]))
             if outcomes:
                 found.append((low[begin:done], outcomes))
         return found
 
     def features(self, text: str) -> np.ndarray:
-        counts = Counter(x for _, outcomes in self.clauses(text) for x in outcomes)
-        coded = counts["coded"]
+        found = [x for _, outcomes in self.matches(text) for x in outcomes]
+        counts = Counter(said for said, _ in found)
+        counts["coded"] = coded = len({word for said, word in found if said == "coded"})  # one repeated may still be chance
         share = min(1.0, 100 * coded / (text.count(" ") + 50)) if coded > 1 else 0.0
         return np.array([np.log1p(counts[k]) for k in KINDS] + [float(coded > 1), share, 1.0])
 
@@ -167,27 +175,45 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
+def _contexts(texts: list[str], toxic: list[float], least: int, found) -> list[tuple[str, int, float]]:
+    """(item, contexts in toxic texts, odds) of items with enough contexts in toxic texts.
+
+    ``found(words, wanted)`` gives (item, place) pairs of a text; others than
+    toxic texts are searched for the items that came up in those alone.
+    """
+    seen: list[dict] = [defaultdict(set), defaultdict(set)]
+    wanted = None
+    for kind in (1, 0):
+        for text, label in zip(texts, toxic):
+            if int(label) == kind:
+                words = _WORD.findall(text.lower())
+                for item, i in found(words, wanted):
+                    seen[kind][item].add(crc32(" ".join(words[max(0, i - 1) : i + 2]).encode()))
+        wanted = {x for x, c in seen[1].items() if len(c) >= least}
+    n = [max(1, toxic.count(k)) for k in (0.0, 1.0)]
+    return [(x, len(seen[1][x]), len(seen[1][x]) / n[1] / ((len(seen[0].get(x, ())) + 0.5) / n[0])) for x in sorted(wanted)]
+
+
 def learn_stems(texts: list[str], toxic: list[float], least: int = 8, odds: float = 20.0) -> tuple[str, ...]:
     """Word beginnings of 3 to 8 letters that recur in at least *least* unlike toxic texts, *odds* times as often as in others.
 
     Texts in which a beginning first stands between the same words count once, so that copies do.
     """
-    seen: list[dict] = [defaultdict(set), defaultdict(set)]
-    for text, label in zip(texts, toxic):
-        words = _WORD.findall(text.lower())
+
+    def recurring(words, wanted):
         first: dict[str, int] = {}
         twice: dict[str, int] = {}
         for i, word in enumerate(words):
             for n in range(3, min(8, len(word)) + 1):
                 p = word[:n]
-                if p in first:
-                    twice.setdefault(p, first[p])
-                else:
-                    first[p] = i
-        for p, i in twice.items():
-            seen[int(label)][p].add(crc32(" ".join(words[max(0, i - 1) : i + 2]).encode()))
-    n = [max(1, toxic.count(k)) for k in (0.0, 1.0)]
-    found = [(len(c), len(p), p) for p, c in seen[1].items() if len(c) >= least and len(c) / n[1] >= odds * (len(seen[0].get(p, ())) + 0.5) / n[0]]
+                if wanted is None or p in wanted:
+                    if p in first:
+                        twice.setdefault(p, first[p])
+                    else:
+                        first[p] = i
+        return twice.items()
+
+    found = [(c, len(p), p) for p, c, o in _contexts(texts, toxic, least, recurring) if o >= odds]
     longer = {p[:k]: max(c for c, _, q in found if q.startswith(p[:k]) and len(q) > k) for _, n, p in found for k in range(3, n)}
     found = [x for x in found if longer.get(x[2], 0) < 0.75 * x[0]]  # the longer of two nested beginnings, unless it loses much
     kept: list[str] = []
@@ -199,18 +225,15 @@ def learn_stems(texts: list[str], toxic: list[float], least: int = 8, odds: floa
 
 def learn_words(texts: list[str], toxic: list[float], stems: tuple[str, ...] = (), least: int = 12, odds: float = 40.0) -> tuple[str, ...]:
     """Words with at least *least* distinct contexts in toxic texts, *odds* times as frequent there as in others."""
-    contexts: list[dict] = [defaultdict(set), defaultdict(set)]
-    for text, label in zip(texts, toxic):
-        words = _WORD.findall(text.lower())
-        for i, word in enumerate(words):
-            if len(word) > 2:
-                contexts[int(label)][word].add(crc32(" ".join(words[max(0, i - 1) : i + 2]).encode()))
-    n = [max(1, toxic.count(k)) for k in (0.0, 1.0)]
-    return tuple(sorted(w for w, c in contexts[1].items() if len(c) >= least and not (stems and w.startswith(stems)) and len(c) / n[1] >= odds * (len(contexts[0].get(w, ())) + 0.5) / n[0]))
+
+    def places(words, wanted):
+        return [(w, i) for i, w in enumerate(words) if len(w) > 2 and (wanted is None or w in wanted)]
+
+    return tuple(w for w, _, o in _contexts(texts, toxic, least, places) if o >= odds and not (stems and w.startswith(stems)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
-    sample = sample_labelled(docs, labels, label_col, rows).select("label", "text").toLocalIterator(prefetchPartitions=True)
+    sample = sample_labelled(docs, labels, label_col, rows).where(F.length("text") <= FIT_CHARS).select("label", "text").toLocalIterator()
     texts, y = [], []
     for r in sample:  # the bounded sample
         texts.append(r.text)
