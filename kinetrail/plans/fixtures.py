@@ -41,11 +41,11 @@ EVENTS = """ev as (select user_id as mobile, row_number() over (partition by use
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, mobile, site) of every particle on every day."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("mobile"), (F.dayofmonth("ts") - 1).cast("long").alias("frame"), "event_type", "ts")
-    last = rows.groupBy("mobile", "frame").agg(F.max_by("event_type", "ts").alias("et"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("mobile"), (F.dayofmonth("ts") - 1).cast("long").alias("frame"), _site("event_type", _SITES).alias("site"), "ts")
+    last = rows.groupBy("mobile", "frame").agg(F.max_by("site", "ts").alias("site"))  # numbers, so that it is hashed and not sorted
     days = rows.agg(F.collect_set("frame").alias("days"))  # at most 31
     spine = last.select("mobile").distinct().join(F.broadcast(days)).select("mobile", F.explode("days").alias("frame"))
-    return spine.join(last, ["mobile", "frame"], "left").select("frame", "mobile", _site("et", _SITES).alias("site"))
+    return spine.join(last, ["mobile", "frame"], "left").select("frame", "mobile", F.coalesce("site", F.lit(-1)).alias("site"))
 
 
 DAILY = """dm as (select distinct user_id as mobile from events), df as (select distinct dayofmonth(ts) - 1 as frame from events),
