@@ -14,8 +14,8 @@ Shards are written under temporary names and moved into place, so a repeated
 or lost task leaves the same files.
 
 Defined cases: null text counts as empty and gives the end id alone; null ids
-come first; rows that repeat an id are ordered by their ids' bytes; an empty
-table gives no shards and no rows; other columns are ignored.
+come first; rows that repeat an id lie in one shard, ordered by their ids'
+bytes; an empty table gives no shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
