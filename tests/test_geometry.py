@@ -73,3 +73,12 @@ def test_voronoi_of_a_simple_cubic_lattice():
     assert len(nodes) == 8
     assert all(len(a) == 8 for a in atoms)
     assert np.allclose(sorted(map(tuple, np.round(nodes, 6)))[0], (2.5, 2.5, 2.5))
+
+
+def test_thinned_points_have_the_same_hull():
+    from kinetrail.operators.positions import hull_vertices
+
+    p = np.random.default_rng(7).normal(0, 1, (9000, 3))
+    kept = hull_vertices(p)
+    assert len(kept) < 6000
+    assert convex_hull(p[kept]) == pytest.approx(convex_hull(p))
