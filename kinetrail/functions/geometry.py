@@ -22,6 +22,11 @@ def point(*names: str) -> Point:
     return tuple(F.col(n) for n in names)
 
 
+def staged(df: DataFrame, **points: Point) -> DataFrame:
+    """Adds points as columns (name + x, y, z): what is used many times in an expression is then computed once a row."""
+    return df.withColumns({f"{name}{c}": v for name, p in points.items() for c, v in zip("xyz", p)})
+
+
 def norm(p: Point) -> Column:
     return F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
 
@@ -114,6 +119,32 @@ class Cell:
         return np.linalg.norm(self.wrap_array(q - p + self.centroid) - self.centroid, axis=-1)
 
 
+def nearest_image(df: DataFrame, cell: Cell, reference: Point, p: Point, name: str = "image") -> DataFrame:
+    """Adds name_code, name_x, name_y, name_z and name_distance as :meth:`Cell.min_image` has them, column by column.
+
+    |d + s|^2 = |d|^2 + 2 d.s + |s|^2, so that the 27 shifts s are compared by
+    sums of three products and a constant; generated code stays small enough
+    to be compiled.
+    """
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    out = staged(staged(df, __p=p, __q=reference), __d=minus(p, reference))
+    d = point("__dx", "__dy", "__dz")
+    out = staged(out, __a=tuple(2.0 * (d[0] * r[0] + d[1] * r[1] + d[2] * r[2]) for r in cell.rows))
+    along, gains = point("__ax", "__ay", "__az"), []
+    for s in steps:
+        total = F.lit(float(((np.array(s) @ cell.matrix) ** 2).sum()))
+        for n, a in zip(s, along):
+            total = total + a if n > 0 else total - a if n < 0 else total
+        gains.append(F.struct(total.alias("gain"), F.lit(100 * (s[0] + 1) + 10 * (s[1] + 1) + s[2] + 1).alias("code")))
+    out = out.withColumn(f"{name}_code", F.array_min(F.array(*gains))["code"])
+    code = F.col(f"{name}_code")
+    out = out.withColumns({f"__{k}": (v % 10 - 1).cast("double") for k, v in (("i", F.floor(code / 100)), ("j", F.floor(code / 10)), ("k", code))})
+    at = {f"{name}_{c}": F.col(f"__p{c}") + sum((F.col(f"__{k}") * cell.rows[n][m] for n, k in ((1, "j"), (2, "k"))), F.col("__i") * cell.rows[0][m]) for m, c in enumerate("xyz")}
+    out = out.withColumns(at)
+    far = norm(minus(point(*at), point("__qx", "__qy", "__qz")))
+    return out.withColumn(f"{name}_distance", far).drop(*(f"__{t}{c}" for t in "pqda" for c in "xyz"), "__i", "__j", "__k")
+
+
 def pairwise_distances(points: DataFrame, cell: Cell, id_col: str = "id") -> DataFrame:
     """(i, j, distance) of all ordered pairs of a small table of points (sites); the diagonal is 0.
 

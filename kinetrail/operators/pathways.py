@@ -7,7 +7,7 @@ import numbers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Cell, point
+from ..functions.geometry import Cell, nearest_image, point, staged
 from .graph import weak_components
 from .network import SiteNetwork
 
@@ -37,10 +37,11 @@ def _numbered(found: DataFrame) -> DataFrame:
 
 def periodic_edges(edges: DataFrame, sites: DataFrame, cell: Cell) -> DataFrame:
     """(src, dst, di, dj, dk): how many cells further the nearest image of dst lies than dst itself, seen from src."""
-    at = lambda end: F.broadcast(sites.select(F.col("site_id").alias(end), *(c.alias(f"{end}{n}") for c, n in zip(cell.wrap(point("cx", "cy", "cz")), "xyz"))))
+    wrapped = staged(sites, w=cell.wrap(point("cx", "cy", "cz")))
+    at = lambda end: F.broadcast(wrapped.select(F.col("site_id").alias(end), *(F.col(f"w{n}").alias(f"{end}{n}") for n in "xyz")))
     joined = edges.select("src", "dst").where("src <> dst").join(at("src"), "src").join(at("dst"), "dst")
-    code = cell.min_image(point("srcx", "srcy", "srcz"), point("dstx", "dsty", "dstz"))["code"]
-    code = joined.select("src", "dst", code.alias("code"))
+    found = nearest_image(joined, cell, point("srcx", "srcy", "srcz"), point("dstx", "dsty", "dstz"))
+    code = found.select("src", "dst", F.col("image_code").alias("code"))
     return code.select("src", "dst", *((F.floor(F.col("code") / d).cast("int") % 10 - 1).alias(n) for d, n in ((100, "di"), (10, "dj"), (1, "dk"))))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientCoordinatingAtomsError
-from ..functions.geometry import Cell, periodic_mean, point
+from ..functions.geometry import Cell, nearest_image, periodic_mean, point, staged
 from ..functions.hulls import convex_hull, voronoi_nodes
 from .network import SiteNetwork
 from .trajectory import SiteTrajectory
@@ -28,7 +28,8 @@ def clamped(positions: DataFrame, sites: DataFrame, cell: Cell, wrap: bool = Fal
     if wrap:
         at = center
     else:
-        joined = joined.withColumn("__code", cell.min_image(cell.wrap(real), cell.wrap(center))["code"])
+        joined = staged(joined, __r=cell.wrap(real), __c=cell.wrap(center))
+        joined = nearest_image(joined, cell, point("__rx", "__ry", "__rz"), point("__cx", "__cy", "__cz"), "__n").withColumnRenamed("__n_code", "__code")
         here = cell.image(real)
         digits = [F.floor(F.col("__code") / d) % 10 - 1 for d in (100, 10, 1)]
         home = cell.fractional(center)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.elbow import elbow_index
-from ..functions.geometry import near_pairs, pairwise_distances, periodic_mean, point, recenter, time_average
+from ..functions.geometry import near_pairs, nearest_image, pairwise_distances, periodic_mean, point, recenter, staged, time_average
 from ..operators import clustering, descriptors, graph, landmarks, merging, pathways, plots, positions, series, trajectory
 from ..operators import jump_statistics as js
 from ..operators.network import SiteNetwork, index_atoms
@@ -304,8 +304,9 @@ a as ({rows}) select center_id, point_id, round(min(dist), 6) as distance from a
 def min_image(spark, sf_dir):
     c = F.broadcast(fx.centers(spark, sf_dir).select(F.col("id").alias("center_id"), *(F.col(k).alias(f"c{k}") for k in "xyz")))
     joined = fx.points(spark, sf_dir).withColumnRenamed("id", "point_id").join(c)
-    found = CELL.min_image(CELL.wrap(point("cx", "cy", "cz")), CELL.wrap(point("x", "y", "z")))
-    return joined.select("center_id", "point_id", _r(found["distance"]).alias("distance"))
+    joined = staged(joined, r=CELL.wrap(point("cx", "cy", "cz")), w=CELL.wrap(point("x", "y", "z")))
+    found = nearest_image(joined, CELL, point("rx", "ry", "rz"), point("wx", "wy", "wz"))
+    return found.select("center_id", "point_id", _r("image_distance").alias("distance"))
 
 
 @query(f"with {fx.POINTS}, {fx.CENTERS}, x as (select ct.id as center_id, pt.id as point_id, {fx.sql_distance(('ct.x', 'ct.y', 'ct.z'), ('pt.x', 'pt.y', 'pt.z'))} as r from pt cross join ct) select center_id, point_id, round(r, 6) as distance from x where r <= 2e0")

@@ -82,3 +82,18 @@ def test_thinned_points_have_the_same_hull():
     kept = hull_vertices(p)
     assert len(kept) < 6000
     assert convex_hull(p[kept]) == pytest.approx(convex_hull(p))
+
+
+@pytest.mark.parametrize("cell", [CUBE, SKEW])
+def test_nearest_image_equals_min_image(spark, cell):
+    from kinetrail.functions.geometry import nearest_image
+
+    draw = np.random.default_rng(3)
+    p = cell.wrap_array(draw.uniform(0, 20, (60, 3)))
+    p[:20] = draw.integers(0, 10, (20, 3))  # whole numbers: ties in the cube
+    rows = [(*map(float, a), *map(float, b)) for a in p[:30] for b in p[30:] if cell is SKEW] + [(*map(float, a), *map(float, b)) for a in p[:20] for b in p[:20] if cell is CUBE]
+    df = spark.createDataFrame(rows, "ax double, ay double, az double, bx double, by double, bz double")
+    ref, q = point("ax", "ay", "az"), point("bx", "by", "bz")
+    for r in nearest_image(df.withColumn("m", cell.min_image(ref, q)), cell, ref, q).collect():
+        assert r.m.code == r.image_code and r.m.distance == pytest.approx(r.image_distance) and (r.m.x, r.m.y, r.m.z) == pytest.approx((r.image_x, r.image_y, r.image_z))
+    assert nearest_image(df, cell, ref, q).columns[-5:] == ["image_code", "image_x", "image_y", "image_z", "image_distance"]
