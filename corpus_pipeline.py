@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), cache=200_000)  # beside what earlier stages hold
 
 
 STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_dedup", near_dedup), ("packing", pack)]

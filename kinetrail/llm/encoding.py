@@ -86,8 +86,8 @@ def as_symbols(piece: str) -> str:
 class PreTokenEncoder:
     """Texts to little-endian uint32 ids as bytes; ``encode_many(pre-tokens) -> list of bytes``."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many, self.cache = encode_many, {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = CACHE):
+        self.encode_many, self.most, self.cache = encode_many, most, {}
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         return [b"".join(x) for x in self.parts(texts)]
@@ -121,7 +121,7 @@ class PreTokenEncoder:
             fresh = dict(zip(missing, self.encode_many(missing)))
             for i, k in holes:
                 done[i][k] = fresh[split[i][k]]
-            if len(self.cache) > CACHE:  # what these texts use stays: it holds the common pre-tokens
+            if len(self.cache) > self.most:  # what these texts use stays: it holds the common pre-tokens
                 kept = {p: self.cache[p] for p in set().union(*split) if p in self.cache}
                 self.cache.clear()
                 self.cache.update(kept)
@@ -154,7 +154,7 @@ class WholeTextEncoder:
 
 
 @lru_cache(2)
-def library_encoder(path: str):
+def library_encoder(path: str, cache: int = CACHE):
     """The ``tokenizers`` library on a tokenizer file; the strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -175,7 +175,7 @@ def library_encoder(path: str):
         mapped = [p.replace(" ", space) if p.isascii() and p.isprintable() else as_symbols(p) for p in pieces]
         return [array("I", [t.id for t in tokenize(m)]).tobytes() for m in mapped]
 
-    return PreTokenEncoder(encode_many)
+    return PreTokenEncoder(encode_many, cache)
 
 
 @lru_cache(2)

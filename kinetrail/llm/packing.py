@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import library_encoder
+from .encoding import CACHE, library_encoder
 
 _SLICE = 512
 
@@ -186,13 +186,16 @@ def _base() -> int:
     return TaskContext.get().partitionId() << 40
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; documents are cut freely."""
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; documents are cut freely.
+
+    *cache*: pre-tokens that a worker keeps; fewer save memory and cost time.
+    """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        encode, base, packer = library_encoder(tokenizer), _base(), VectorPacker(limits, cut=True)
+        encode, base, packer = library_encoder(tokenizer, cache), _base(), VectorPacker(limits, cut=True)
         end = np.array([end_id], "<u4").tobytes()
         live: dict[int, list] = {}  # documents with pieces still waiting: doc_id, ids, tokens not yet given out
         n_seen = 0
