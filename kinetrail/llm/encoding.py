@@ -23,8 +23,8 @@ import numpy as np
 #: Fixed value: the pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pre-tokens a worker keeps: about 150 MB.
-CACHE = 800_000
+#: Pre-tokens a worker keeps: about 180 MB.
+CACHE = 1_000_000
 LONG = 48
 
 
