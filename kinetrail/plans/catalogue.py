@@ -498,7 +498,7 @@ def type_votes(spark, sf_dir):
 
 @query()
 def pca_types(spark, sf_dir):
-    rows = fx.vectors(spark, sf_dir).where("vec_id < 300").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("site_id"), "v")  # density peaks compare all pairs of a site-sized table
+    rows = fx.vectors(spark, sf_dir).select(F.col("vec_id").alias("sample_id"), F.col("label").alias("site_id"), "v")
     return descriptors.site_types(rows)[0].withColumn("share", _r("share"))
 
 
