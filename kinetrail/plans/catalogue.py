@@ -452,7 +452,7 @@ _SPARSE = "sp as (select vec_id, label, pos, cast(embedding[pos + 1] as double)
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
-    return clustering.sparsified(fx.vectors(spark, sf_dir)).where("pos < 16")
+    return clustering.sparsified(fx.vectors(spark, sf_dir))
 
 
 @query(f"with {_SPARSE}, n as (select count(*) * 1e0 as n from embeddings), m as (select a.pos as k, b.pos as l, sum(a.v * b.v) / (select n from n) as v from sp a join sp b on b.vec_id = a.vec_id group by all), s as (select k, sqrt(v) as s from m where k = l) select cast(m.k as integer) as k, cast(m.l as integer) as l, round(v / a.s / b.s, 6) as value from m join s a on a.k = m.k join s b on b.k = m.l")
