@@ -633,7 +633,7 @@ lv as (select frame, mobile, landmark, exp(avg(-ln(1 + exp({steep}e0 * (r - {mid
 
 
 def _landmark_vectors(spark, sf_dir, mid: float = 2.5, steep: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    mobile = fx.positions(spark, sf_dir).where("frame < 5").select("frame", "mobile", "x", "y", "z")  # the first days: the fixture's extent in time
+    mobile = fx.positions(spark, sf_dir).select("frame", "mobile", "x", "y", "z")
     static = fx.points(spark, sf_dir).select(F.col("id").cast("int").alias("static_idx"), "x", "y", "z")
     reference = landmarks.reference_distances(_landmarks(spark, sf_dir), static, CELL)
     return mobile, landmarks.landmark_vectors(mobile, static, reference, CELL, mid, steep)

@@ -17,10 +17,13 @@ needs_data = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables a
 WHOLE_SQL = {
     "landmark_corr": ("range(16)", "range(64)"),
     "representative_vectors": ("range(16)", "range(64)"),
+    "landmark_vectors": ("frame < 5", "frame >= 0"),
+    "landmark_zero_check": ("frame < 5", "frame >= 0"),
 }
 
 
 def same_as_whole_sql(spark, name):
+    """The query's rows, after comparing them with its SQL without the cut."""
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):
         con.sql(f"create view {f.stem} as select * from '{f}'")
@@ -39,6 +42,12 @@ def test_all_components(spark, name, rows):
     assert len(same_as_whole_sql(spark, name)) == rows
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["landmark_vectors", "landmark_zero_check"])
+def test_all_frames(spark, name):
+    assert same_as_whole_sql(spark, name)["frame"].nunique() > 5
+
+
 def peaks_of(v, quantile):
     d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
     pairs = np.sort(d[np.triu_indices(len(v), 1)])
