@@ -226,8 +226,8 @@ def lag_plot_data(spark, sf_dir):
 
 @query(f"with {fx.GRAPH}, u as (select * from g where mobile % 5 < 3), m as (select site as site_id, row_number() over (order by site) - 1 as new_id from (select distinct site from u where site >= 0)) select frame, mobile, cast(coalesce(new_id, -1) as integer) as site from u left join m on m.site_id = u.site")
 def remove_unoccupied(spark, sf_dir):
-    u = fx.graph_daily(spark, sf_dir).where("mobile % 5 < 3")
-    return trajectory.translate(u, trajectory.unoccupied_translation(u, fx.sites(spark, 25))).select("frame", "mobile", "site")
+    u = fx.graph_daily(spark, sf_dir)  # visits 25 of the 30 sites
+    return trajectory.translate(u, trajectory.unoccupied_translation(u, fx.sites(spark, 30))).select("frame", "mobile", "site")
 
 
 def _network(spark, sf_dir) -> SiteNetwork:
@@ -658,7 +658,7 @@ select frame, count(*) filter (d > 2e0) as too_far, count(*) - count(distinct at
 
 @query(_lattice_sql())
 def static_lattice_check(spark, sf_dir):
-    frames = fx.positions(spark, sf_dir).where("mobile <= 25").select("frame", F.col("mobile").alias("static_idx"), "x", "y", "z")  # as many atoms as lattice points
+    frames = fx.positions(spark, sf_dir).select("frame", F.col("mobile").alias("static_idx"), "x", "y", "z")
     lattice = fx.centers(spark, sf_dir).withColumnRenamed("id", "lattice_point")
     near = landmarks.nearest_lattice(frames, lattice, CELL).withColumn("distance", _r("distance", 9))
-    return landmarks.check_lattice(near, 2.0).select("frame", "too_far", "repeated")
+    return landmarks.check_lattice(near, 2.0, every=True).select("frame", "too_far", "repeated")

@@ -17,6 +17,8 @@ needs_data = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables a
 WHOLE_SQL = {
     "landmark_corr": ("range(16)", "range(64)"),
     "representative_vectors": ("range(16)", "range(64)"),
+    "static_lattice_check": ("mobile <= 25", "mobile >= 0"),
+    "remove_unoccupied": ("mobile % 5 < 3", "mobile >= 0"),
     "landmark_vectors": ("frame < 5", "frame >= 0"),
     "landmark_zero_check": ("frame < 5", "frame >= 0"),
 }
@@ -48,6 +50,12 @@ def test_all_frames(spark, name):
     assert same_as_whole_sql(spark, name)["frame"].nunique() > 5
 
 
+@needs_data
+def test_all_particles(spark):
+    same_as_whole_sql(spark, "static_lattice_check")
+    assert same_as_whole_sql(spark, "remove_unoccupied")["mobile"].nunique() == 150
+
+
 def peaks_of(v, quantile):
     d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
     pairs = np.sort(d[np.triu_indices(len(v), 1)])
