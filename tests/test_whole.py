@@ -1,11 +1,13 @@
 """Queries and operators do the whole job: all rows, all components, all neighbours."""
 
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
+from kinetrail.functions.hulls import voronoi_nodes
 from kinetrail.operators import descriptors
 from kinetrail.plans import catalogue
 
@@ -96,3 +98,65 @@ def test_pca_types_reads_every_vector(spark, monkeypatch):
     monkeypatch.setattr(descriptors, "site_types", lambda rows, **k: seen.append(rows.count()) or real(rows, **k))
     catalogue.pca_types(spark, str(DATA)).collect()
     assert seen == [spark.read.parquet(f"{DATA}/embeddings.parquet").count()]
+
+
+def nodes_of_all_triples(points, matrix, w, reach):
+    """Power centers of an atom and any three images that no image is nearer to."""
+    shifts = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]) @ matrix
+    every, owner = (points[None] + shifts[:, None]).reshape(-1, 3), np.tile(np.arange(len(points)), 27)
+    out = {}
+    for a, p in enumerate(points):
+        gap = np.linalg.norm(every - p, axis=1)
+        near = np.flatnonzero((gap > 1e-12) & (gap <= reach))
+        triples = np.array(list(combinations(near, 3)))
+        m = 2 * (every[triples] - p)
+        b = (every[triples] ** 2).sum(2) - (p**2).sum() - w[owner[triples]] + w[a]
+        solid = np.abs(np.linalg.det(m)) > 1e-9
+        at = np.linalg.solve(m[solid], b[solid][..., None])[..., 0]
+        mine = ((at - p) ** 2).sum(1) - w[a]
+        for lo in range(0, len(at), 20_000):
+            c = at[lo : lo + 20_000]
+            power = (c**2).sum(1)[:, None] - 2 * c @ every.T + (every**2).sum(1) - w[owner]
+            for k in np.flatnonzero(power.min(1) >= mine[lo : lo + len(c)] - 1e-7):
+                f = c[k] @ np.linalg.inv(matrix)
+                key = tuple(np.round(f - np.floor(f + 1e-6), 4) % 1.0)
+                out.setdefault(key, set()).update(owner[np.abs(power[k] - mine[lo + k]) <= 1e-6].tolist())
+    return out
+
+
+def same_nodes(points, matrix, w, reach=np.inf):
+    nodes, atoms = voronoi_nodes(points, matrix, w)
+    f = nodes @ np.linalg.inv(matrix)
+    got = {tuple(np.round(x - np.floor(x + 1e-6), 4) % 1.0): set(a) for x, a in zip(f, atoms)}
+    want = nodes_of_all_triples(points, matrix, w, reach)
+    assert len(got) == len(nodes)
+    for x, a in want.items():
+        assert any(np.abs((np.array(x) - y + 0.5) % 1 - 0.5).max() < 3e-4 and a == b for y, b in got.items())
+    assert len(got) == len(want)
+    return got
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_voronoi_nodes_of_few_points(weighted):
+    draw = np.random.default_rng(4)
+    matrix = np.array([[10.0, 0, 0], [2, 9, 0], [1, 1.5, 8]])
+    same_nodes(draw.uniform(0, 1, (3, 3)) @ matrix, matrix, draw.uniform(0, 4, 3) if weighted else np.zeros(3))
+
+
+def test_voronoi_nodes_around_a_wide_void():
+    """Two dense clumps: each atom's forty nearest are in its own clump."""
+    draw = np.random.default_rng(5)
+    matrix = np.eye(3) * 20.0
+    points = np.vstack([c + draw.uniform(-0.7, 0.7, (45, 3)) for c in (np.full(3, 5.0), np.array([14.0, 15, 13]))])
+    nodes, atoms = voronoi_nodes(points, matrix)
+    shifts = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]) @ matrix
+    every = (points[None] + shifts[:, None]).reshape(-1, 3)
+    owner = np.tile(np.arange(90), 27)
+    assert any(len({k // 45 for k in a}) == 2 for a in atoms)
+    # The simplices of the nodes fill the cell; one lost node leaves a hole.
+    total = 0.0
+    for x, a in zip(nodes, atoms):
+        images = every[np.isin(owner, a)]
+        corners = images[np.argsort(np.linalg.norm(images - x, axis=1))[:4]]
+        total += abs(np.linalg.det(corners[1:] - corners[0])) / 6
+    assert total == pytest.approx(20.0**3, rel=1e-6)
