@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from kinetrail.functions.hulls import voronoi_nodes
-from kinetrail.operators import descriptors
+from kinetrail.operators import descriptors, graph
 from kinetrail.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.01")
@@ -160,3 +160,12 @@ def test_voronoi_nodes_around_a_wide_void():
         corners = images[np.argsort(np.linalg.norm(images - x, axis=1))[:4]]
         total += abs(np.linalg.det(corners[1:] - corners[0])) / 6
     assert total == pytest.approx(20.0**3, rel=1e-6)
+
+
+def test_dense_matrix_raises_beyond_its_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (2, 0, 4.0)], "src int, dst int, n_ij double")
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 3)
+    assert graph.dense_matrix(edges, "n_ij", 3).sum() == 9
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 2)
+    with pytest.raises(ValueError):
+        graph.dense_matrix(edges, "n_ij", 3)
