@@ -56,9 +56,8 @@ KINDS = ("bare", "aimed", "denied", "reported", "threat", "threat_denied", "code
 _DEFAULT = np.array([5.0, 6.0, 0.3, 0.6, 6.0, 0.3, 0.5, 0.0, 0.0, -4.0])
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_END = re.compile(r"[.!?;:\n]")
-#: Characters that a clause without end marks goes on to either side of a match; the whole text is searched for matches.
-REACH = 400
+_ENDS = ".!?;:\n"
+_END = re.compile(f"[{_ENDS}]")
 
 
 class Transducer:
@@ -151,9 +150,10 @@ class ToxicityModel:
                 continue
             if last + 1 < len(low) and low[last + 1].isalpha() and low[first : last + 1] not in stems:
                 continue
-            begin = max((m.end() for m in _END.finditer(low, max(0, done, first - REACH), first)), default=max(0, done, first - REACH))
-            end = _END.search(low, last, last + REACH)
-            done = end.start() if end else min(len(low), last + REACH)
+            # From end mark to end mark, however far apart: what is searched here is not searched again.
+            begin = max(max(0, done), *(low.rfind(mark, max(0, done), first) + 1 for mark in _ENDS))
+            end = _END.search(low, last)
+            done = end.start() if end else len(low)
             state, outcomes = machine.start, []
             for m in _WORD.finditer(low, begin, done):
                 kind = of.get(m[0].replace("'", "").replace("’", "")) or (CODED if stems and m[0].startswith(stems) else None)
