@@ -8,8 +8,8 @@ posterior; a document's language has the largest mean posterior, which is the
 score.  Chains run over segments of up to ``SEGMENT`` words and cover the
 whole text.
 
-The fit reads at most ``FIT_DOCS`` documents of each of the ``MAX_LANGS`` most
-frequent language values.  Defined cases: null text or text without a letter
+The fit reads about ``FIT_DOCS`` documents of each language value, of which all
+are learned; weights take half a megabyte a language.  Defined cases: null text or text without a letter
 is ``und`` with score 0; tokens without letters are skipped; tokens beyond 64
 characters are read in pieces of 64; with no labelled document every text is
 ``und``; ties go to the alphabetically first language; other columns are
@@ -32,7 +32,6 @@ SEGMENT = 64
 FIT_DOCS = 250
 #: Longer documents take no part in the fit, whose texts are held by the driver.
 FIT_CHARS = 100_000
-MAX_LANGS = 64
 BUCKETS = 1 << 17
 CACHE = 600_000
 _SLICE = 512
@@ -232,7 +231,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
     for _ in range(epochs):
         for rows in np.split(order := draw.permutation(len(x))[:most], range(batch, len(order), batch)):
             xs, ys, m = x[rows], y[rows], len(rows)
-            score = w[padded[xs]].sum(2).astype("f8")
+            used = padded[xs]
+            score = w[used[:, :, 0]]
+            for i in range(1, width):
+                score += w[used[:, :, i]]
+            score = score.astype("f8")
             emit = np.exp(score - score.max(2, keepdims=True))
             ea, alpha, beta = np.exp(t), np.empty_like(emit), np.ones_like(emit)
             for i in range(length):
@@ -243,17 +246,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
                 beta[:, i] /= beta[:, i].sum(1, keepdims=True)
             gamma = alpha * beta
             gamma /= gamma.sum(2, keepdims=True)
-            pair = alpha[:, :-1, :, None] * ea * (emit * beta)[:, 1:, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
+            pairs, after = np.zeros((n, n)), emit * beta
+            for i in range(length - 1):  # summed as they come: all pairs of languages at all places would be many
+                pairs += (alpha[:, i] / ((alpha[:, i] @ ea) * after[:, i + 1]).sum(1, keepdims=True)).T @ after[:, i + 1]
+            pairs *= ea
             hot = np.eye(n)[ys]
             grad = (gamma - hot) / m
-            used = padded[xs].reshape(-1, width)
-            flat, mass = used.ravel(), np.repeat(grad.reshape(-1, n), width, 0)
-            step = np.stack([np.bincount(flat, mass[:, c], BUCKETS) for c in range(n)], 1).astype("f4")
+            flat = used.ravel()
+            step = np.stack([np.bincount(flat, np.repeat(grad[:, :, c].ravel(), width), BUCKETS).astype("f4") for c in range(n)], 1)
             step[0] = 0
             gw += step**2
             w -= rate * step / np.sqrt(gw)
-            dt = pair.sum((0, 1)) / m - np.einsum("mia,mib->ab", hot[:, :-1], hot[:, 1:]) / m + 1e-3 * t
+            dt = pairs / m - np.bincount((ys[:, :-1] * n + ys[:, 1:]).ravel(), minlength=n * n).reshape(n, n) / m + 1e-3 * t
             df = (gamma[:, 0] - hot[:, 0]).mean(0)
             gt += dt**2
             gf += df**2
@@ -266,12 +270,12 @@ def fit(docs: DataFrame, per_lang: int = FIT_DOCS, text_col: str = "text", lang_
     """Fit to a hash sample of labelled documents; only ids of bounded number are broadcast, only their texts collected."""
     key, lang = F.col(id_col).cast("long").alias("__key"), F.col(lang_col).cast("string").alias("__lang")
     named = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= FIT_CHARS) & F.col(id_col).isNotNull()).select(key, lang)
-    counts = named.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGS).collect()
+    counts = named.groupBy("__lang").count().collect()
     if not counts:
         return train([], [])
     place = F.pmod(F.xxhash64("__key"), F.lit(1_000_000_000)) / 1e9
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["__lang"], per_lang / r["count"])])
-    chosen = named.where(place < rate[F.col("__lang")]).limit(2 * MAX_LANGS * per_lang)
+    rates = docs.sparkSession.createDataFrame([(r["__lang"], per_lang / r["count"]) for r in counts], "__lang string, __rate double")
+    chosen = named.join(F.broadcast(rates), "__lang").where(place < F.col("__rate")).select("__key", "__lang").limit(2 * max(64, len(counts)) * per_lang)
     texts = docs.select(key, F.col(text_col).alias("__text"))
     rows = sorted(texts.join(F.broadcast(chosen), "__key").select("__key", "__lang", "__text").toLocalIterator(), key=lambda r: r["__key"])
     return train([r["__text"] for r in rows], [r["__lang"] for r in rows])
