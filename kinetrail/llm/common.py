@@ -5,25 +5,51 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of a batch, so many rows or bytes of text are worked on at once.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, local sessions (tests) get a temporary folder; on a
+    cluster such a folder would be another one on each machine, so that raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    own = getattr(spark, "_kinetrail_shared", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="kinetrail-")
-        spark.sparkContext.setCheckpointDir(own)
-        spark._kinetrail_shared = own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="kinetrail-")
+    spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def sliced(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS, extra: int = 0) -> Iterator[pa.RecordBatch]:
+    """Runs of at most *rows* rows, cut where the values of *column* (and *extra* bytes a row) pass *most* bytes.
+
+    A value over *most* is a run of its own, so that what is made of a run
+    stays far below the 2 GiB that an Arrow column may hold.
+    """
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8") + extra
+    total = np.cumsum(sizes)
+    a = 0
+    while a < batch.num_rows:
+        before = total[a - 1] if a else 0
+        b = min(a + rows, max(a + 1, int(np.searchsorted(total, before + most, "right"))), batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below :func:`shared_dir`."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -102,3 +128,12 @@ def tokenizer_path(name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def within_budget(rows, size, chars: int):
+    """Rows in the order they come while they fit what is left of *chars*; one that does not fit is passed over."""
+    left = chars
+    for r in rows:
+        if (n := size(r)) <= left:
+            left -= n
+            yield r

@@ -5,15 +5,21 @@ prefixes and suffixes of one to four letters, and letter n-grams of two and
 three.  Transition weights between neighbouring words are learned too, partly
 from spliced texts that switch language.  Forward-backward gives each word's
 posterior; a document's language has the largest mean posterior, which is the
-score.  Chains run over segments of up to ``SEGMENT`` words and cover the
-whole text.
-
-The fit reads about ``FIT_DOCS`` documents of each language value, of which all
-are learned; weights take half a megabyte a language.  Defined cases: null text or text without a letter
-is ``und`` with score 0; tokens without letters are skipped; tokens beyond 64
-characters are read in pieces of 64; with no labelled document every text is
-``und``; ties go to the alphabetically first language; other columns are
-ignored.
+score.  A text is one chain: it is worked on in runs of ``RUN`` words side by
+side, and forward and backward messages pass from run to run through the runs'
+transfer matrices, which gives the same numbers as one long recursion.
+
+The fit reads labelled rows in the order of a hash of the id: of each language
+value, all of which are learned, at most ``FIT_DOCS`` rows and ``FIT_CHARS``
+characters in all, whole texts (a row that no longer fits is passed over).
+Weights take half a megabyte a language.
+
+Defined cases: null text or text without a letter is ``und`` with score 0;
+tokens without letters are skipped; a token is one word however long; with no
+labelled document every text is ``und``; ties go to the alphabetically first
+language; rows that repeat an id count once in the fit (the first lang and text
+in order) and are each predicted; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,21 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 64
+from .common import sliced
+
+#: Words that are worked on side by side; no result depends on it.
+RUN = 64
 FIT_DOCS = 250
-#: Longer documents take no part in the fit, whose texts are held by the driver.
-FIT_CHARS = 100_000
+#: Characters of a language's labelled texts in all, which the driver holds.
+FIT_CHARS = 1_500_000
 BUCKETS = 1 << 17
 CACHE = 600_000
-_SLICE = 512
-
-
-def tokens(text: str) -> list[str]:
-    """Whitespace-parted tokens; long ones in pieces."""
-    found = text.split()
-    if len(text) > 64 and max(map(len, found), default=0) > 64:
-        return [w[i : i + 64] for w in found for i in range(0, len(w), 64)]
-    return found
+#: Tokens beyond so many letters are not kept.
+_LONG = 64
 
 
 def letters(token: str) -> str:
@@ -97,7 +99,7 @@ class LanguageModel:
 
     def emissions(self, split: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Row numbers of each text's tokens with letters, and the rows' exp(emission); rows are kept a worker long."""
-        get = self._cache.get
+        get, table = self._cache.get, self._rows
         done = [list(map(get, x)) for x in split]
         open_ = [i for i, d in enumerate(done) if None in d]
         missing = {t for i in open_ for t, v in zip(split[i], done[i]) if v is None}
@@ -106,28 +108,28 @@ class LanguageModel:
                 self._cache.clear()
                 self._rows = None
                 return self.emissions(split)
-            fresh, base = [], 0 if self._rows is None else len(self._rows)
-            for t in missing:
-                word = letters(t)
-                if word:
-                    self._cache[t] = base + len(fresh)
-                    fresh.append(word)
-                else:
-                    self._cache[t] = -1
+            base = 0 if self._rows is None else len(self._rows)
+            word_of = {t: letters(t) for t in sorted(missing, key=len)}  # tokens to keep come first
+            fresh = [w for w in word_of.values() if w]
+            place = iter(range(base, base + len(fresh)))
+            found = {t: next(place) if w else -1 for t, w in word_of.items()}
+            keep = {t: k for t, k in found.items() if len(t) <= _LONG}
             if fresh:
                 buckets, sizes = features(fresh, self.lexicon)
                 summed = np.add.reduceat(self.weights[buckets], np.cumsum(sizes) - sizes, axis=0)
                 rows = np.exp(summed - summed.max(1, keepdims=True)).astype("f4")
-                self._rows = rows if self._rows is None else np.vstack([self._rows, rows])
+                table = rows if self._rows is None else np.vstack([self._rows, rows])
+                self._rows = table[: base + sum(k >= 0 for k in keep.values())]
+            self._cache.update(keep)
             for i in open_:
-                done[i] = [get(t) if v is None else v for t, v in zip(split[i], done[i])]
+                done[i] = [found[t] if v is None else v for t, v in zip(split[i], done[i])]
         rows = [np.array(d, "i4") for d in done]
-        return [r[r >= 0] for r in rows], self._rows
+        return [r[r >= 0] for r in rows], table
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        rows, table = self.emissions([tokens(t or "") for t in texts])
+        rows, table = self.emissions([(t or "").split() for t in texts])
         sizes = np.array([len(r) for r in rows])
         out = np.zeros((len(texts), len(self.langs)))
         if sizes.sum():
@@ -139,7 +141,7 @@ class LanguageModel:
 
     def label_words(self, text: str) -> list[tuple[str, str, float]]:
         """(token, language, posterior) of a text's tokens with letters, in order."""
-        split = tokens(text)
+        split = text.split()
         if not self.langs or not split:
             return []
         rows, table = self.emissions([split])
@@ -150,32 +152,77 @@ class LanguageModel:
         return [(t, self.langs[k], float(g[k])) for t, g, k in zip(words, gamma, gamma.argmax(1))]
 
 
-def _segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, length) of the segments of texts with so many words, longest segments first."""
-    starts, lengths, at = [], [], 0
-    for n in sizes.tolist():
-        starts.append(np.arange(at, at + n, SEGMENT))
-        lengths.append(np.minimum(SEGMENT, at + n - starts[-1]))
-        at += n
-    starts, lengths = np.concatenate(starts), np.concatenate(lengths)
+def _transfers(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Of each run, the matrix that carries a forward message over its words, scaled to a largest entry of 1."""
+    n = len(a)
     order = np.argsort(-lengths, kind="stable")
-    return starts[order], lengths[order]
+    begin, long = starts[order], lengths[order]
+    live = np.searchsorted(-long, -np.arange(int(long[0])), side="left")  # runs longer than t
+    now = np.tile(np.eye(n), (len(starts), 1, 1))
+    for t, m in enumerate(live.tolist()):
+        now[:m] = (now[:m].reshape(-1, n) @ a).reshape(m, n, n) * emit[begin[:m] + t][:, None, :]
+        if t % 8 == 7:
+            now[:m] /= now[:m].max((1, 2), keepdims=True)
+    out = np.empty_like(now)
+    out[order] = now / now.max((1, 2), keepdims=True)
+    return out
 
 
-def marginals(emit: np.ndarray, sizes: np.ndarray, a: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Posterior of each word by forward-backward, all segments in step; *emit*, *a* and *first* are exponentiated."""
-    starts, lengths = _segments(sizes)
-    a, first = a.astype("f4"), first.astype("f4")
+def _borders(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray, a: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run, the forward message of the word before it and the backward message of its last word."""
+    before, behind = np.zeros((len(starts), len(a))), np.ones((len(starts), len(a)))
+    heads = np.cumsum(counts) - counts
+    several = np.argsort(-counts, kind="stable")[: int((counts > 1).sum())]
+    if not len(several):
+        return before, behind
+    head, count = heads[several], counts[several]
+    later = np.ones(len(starts), bool)
+    later[heads] = False
+    slot = np.cumsum(later) - 1
+    carry = _transfers(emit, starts[later], lengths[later], a)
+    now = first * emit[starts[head]]
+    for t in range(1, int(lengths[head[0]])):
+        now = (now @ a) * emit[starts[head] + t]
+        now /= now.sum(1, keepdims=True)
+    steps = range(1, int(count[0]))
+    live = [int(np.searchsorted(-count, -k, side="left")) for k in steps]  # texts with a run k
+    for k, m in zip(steps, live):
+        before[head[:m] + k] = now = now[:m]
+        now = np.einsum("si,sij->sj", now, carry[slot[head[:m] + k]])
+        now /= now.sum(1, keepdims=True)
+    for k, m in zip(reversed(steps), reversed(live)):
+        run = head[:m] + k
+        back = np.einsum("sij,sj->si", carry[slot[run]], behind[run])
+        behind[run - 1] = back / back.sum(1, keepdims=True)
+    return before, behind
+
+
+def marginals(emit: np.ndarray, sizes: np.ndarray, a: np.ndarray, first: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Posterior of each word by forward-backward over whole texts; *emit*, *a* and *first* are exponentiated.
+
+    With many languages transfer matrices cost more than they save: texts are then one run each.
+    """
+    sizes = sizes[sizes > 0]
+    if len(a) > 16:
+        run = int(sizes.max())
+    counts = -(-sizes // run)
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, counts) + place * run
+    lengths = np.minimum(run, np.repeat(sizes, counts) - place * run)
+    before, behind = _borders(emit, starts, lengths, counts, a.astype("f8"), first.astype("f8"))
+    enter = np.where((place == 0)[:, None], first, before @ a).astype("f4")
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths, now, beta = starts[order], lengths[order], enter[order], behind[order].astype("f4")
+    a = a.astype("f4")
     steps = int(lengths[0])
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # segments longer than t
+    live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # runs longer than t
     alpha = np.empty_like(emit)
-    now = None
     for t in range(steps):
         at = starts[: live[t]] + t
-        now = (first if t == 0 else now[: live[t]] @ a) * emit[at]
+        now = (now if t == 0 else now[: live[t]] @ a) * emit[at]
         now /= now.sum(1, keepdims=True)
         alpha[at] = now
-    beta = np.ones((len(starts), emit.shape[1]), "f4")
+    alpha[starts + lengths - 1] *= beta
     for t in range(steps - 2, -1, -1):
         n = live[t + 1]
         at = starts[:n] + t
@@ -191,7 +238,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
     if not langs:
         return LanguageModel([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0))
     draw, n = np.random.default_rng(seed), len(langs)
-    split = [tokens(t) for t in texts]
+    split = [t.split() for t in texts]
     seen = Counter(w for x in split for w in {t.lower() for t in x})
     lexicon = {w: i for i, w in enumerate(sorted(w for w in {letters(w) for w, c in seen.items() if c >= 5} if w))}
     number: dict[str, int] = {}
@@ -216,10 +263,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
     if not segments:
         return LanguageModel(langs, np.zeros((BUCKETS, n), "f4"), np.zeros((n, n)), np.zeros(n), lexicon)
     buckets, sizes = features(words, lexicon)
-    width = min(48, int(sizes.max()))  # of a long word's features the first 48 take part in the fit
-    column = np.arange(len(buckets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    padded = np.zeros((len(words), width), "i4")
-    padded[np.repeat(np.arange(len(words)), sizes)[column < width], column[column < width]] = buckets[column < width]
+    begins = np.cumsum(sizes) - sizes
     x = np.array(segments)
     y = np.repeat(np.array(gold)[:, None], length, 1)
     k = len(x) // 5
@@ -227,14 +271,14 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
     x, y = np.vstack([x, np.where(cut, x[b], x[a])]), np.vstack([y, np.where(cut, y[b], y[a])])
     w, t, f0 = np.zeros((BUCKETS, n), "f4"), np.zeros((n, n)), np.zeros(n)
     gw, gt, gf = np.full((BUCKETS, n), 1e-3, "f4"), np.full((n, n), 1e-3), np.full(n, 1e-3)
-    most = max(batch, 60_000 // max(1, epochs) // batch * batch)  # segments an epoch
     for _ in range(epochs):
-        for rows in np.split(order := draw.permutation(len(x))[:most], range(batch, len(order), batch)):
+        for rows in np.split(order := draw.permutation(len(x)), range(batch, len(order), batch)):
             xs, ys, m = x[rows], y[rows], len(rows)
-            used = padded[xs]
-            score = w[used[:, :, 0]]
-            for i in range(1, width):
-                score += w[used[:, :, i]]
+            unlike, which = np.unique(xs, return_inverse=True)  # a word's features are summed once a batch
+            each = sizes[unlike]
+            heads = np.cumsum(each) - each
+            used = buckets[np.repeat(begins[unlike] - heads, each) + np.arange(int(each.sum()))]
+            score = np.add.reduceat(w[used], heads, axis=0)[which.reshape(xs.shape)]
             score = score.astype("f8")
             emit = np.exp(score - score.max(2, keepdims=True))
             ea, alpha, beta = np.exp(t), np.empty_like(emit), np.ones_like(emit)
@@ -252,8 +296,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
             pairs *= ea
             hot = np.eye(n)[ys]
             grad = (gamma - hot) / m
-            flat = used.ravel()
-            step = np.stack([np.bincount(flat, np.repeat(grad[:, :, c].ravel(), width), BUCKETS).astype("f4") for c in range(n)], 1)
+            flat = which.ravel()
+            of_word = np.stack([np.bincount(flat, grad[:, :, c].ravel(), len(unlike)) for c in range(n)], 1)
+            step = np.stack([np.bincount(used, np.repeat(of_word[:, c], each), BUCKETS).astype("f4") for c in range(n)], 1)
             step[0] = 0
             gw += step**2
             w -= rate * step / np.sqrt(gw)
@@ -266,19 +311,28 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 11,
     return LanguageModel(langs, w, t, f0, lexicon)
 
 
-def fit(docs: DataFrame, per_lang: int = FIT_DOCS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
+def fit(docs: DataFrame, per_lang: int = FIT_DOCS, chars: int = FIT_CHARS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Fit to a hash sample of labelled documents; only ids of bounded number are broadcast, only their texts collected."""
     key, lang = F.col(id_col).cast("long").alias("__key"), F.col(lang_col).cast("string").alias("__lang")
-    named = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= FIT_CHARS) & F.col(id_col).isNotNull()).select(key, lang)
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(key, lang)
     counts = named.groupBy("__lang").count().collect()
     if not counts:
         return train([], [])
-    place = F.pmod(F.xxhash64("__key"), F.lit(1_000_000_000)) / 1e9
-    rates = docs.sparkSession.createDataFrame([(r["__lang"], per_lang / r["count"]) for r in counts], "__lang string, __rate double")
-    chosen = named.join(F.broadcast(rates), "__lang").where(place < F.col("__rate")).select("__key", "__lang").limit(2 * max(64, len(counts)) * per_lang)
-    texts = docs.select(key, F.col(text_col).alias("__text"))
-    rows = sorted(texts.join(F.broadcast(chosen), "__key").select("__key", "__lang", "__text").toLocalIterator(), key=lambda r: r["__key"])
-    return train([r["__text"] for r in rows], [r["__lang"] for r in rows])
+    hashed = F.xxhash64("__key")
+    place = F.pmod(hashed, F.lit(1_000_000_000)) / 1e9
+    rates = docs.sparkSession.createDataFrame([(r["__lang"], (1.5 * per_lang + 50) / r["count"]) for r in counts], "__lang string, __rate double")
+    chosen = named.join(F.broadcast(rates), "__lang").where(place < F.col("__rate")).groupBy("__key").agg(F.min("__lang").alias("__lang"))
+    texts = docs.select(key, F.col(text_col).alias("__text")).where("__text is not null")
+    found = texts.join(F.broadcast(chosen), "__key").groupBy("__key", "__lang").agg(F.min("__text").alias("__text")).orderBy("__lang", place, "__key")
+    sample, lang, rows, left = [], None, 0, 0
+    for r in found.toLocalIterator():
+        if r["__lang"] != lang:
+            lang, rows, left = r["__lang"], per_lang, chars
+        if rows and len(r["__text"]) <= left:
+            rows, left = rows - 1, left - len(r["__text"])
+            sample.append(r)
+    sample.sort(key=lambda r: r["__key"])
+    return train([r["__text"] for r in sample], [r["__lang"] for r in sample])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,8 +342,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for whole in batches:
-            for i in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(i, _SLICE)
+            for batch in sliced(whole, 1):
                 lang, score = shared.value.predict(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 

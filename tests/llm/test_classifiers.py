@@ -60,6 +60,57 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[begin : begin + n], want / want.sum(1, keepdims=True), atol=1e-5)
 
 
+def one_recursion(emit, a, first):
+    """Forward-backward over a whole text, word by word."""
+    alpha, beta = np.empty_like(emit, dtype="f8"), np.ones_like(emit, dtype="f8")
+    for t, e in enumerate(emit.astype("f8")):
+        alpha[t] = (first if t == 0 else alpha[t - 1] @ a) * e
+        alpha[t] /= alpha[t].sum()
+    for t in range(len(emit) - 2, -1, -1):
+        beta[t] = a @ (emit[t + 1] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    out = alpha * beta
+    return out / out.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("n, sizes", [(3, [300, 64, 0, 1, 129, 65, 10_000]), (20, [200, 7])])
+def test_long_texts_are_one_chain(n, sizes):
+    draw = np.random.default_rng(12)
+    emit = draw.uniform(0.05, 1, (sum(sizes), n)).astype("f4") ** 3
+    a, first = np.exp(3 * np.eye(n)) * draw.uniform(0.2, 1, (n, n)), draw.uniform(0.1, 1, n)
+    got, at = language.marginals(emit, np.array(sizes), a, first), 0
+    for size in sizes:
+        if size:
+            assert np.allclose(got[at : at + size], one_recursion(emit[at : at + size], a, first), atol=2e-5)
+        at += size
+
+
+def test_words_of_long_code_switched_text(model):
+    draw = random.Random(13)
+    split = [draw.choice(v) for i in range(200) for v in [(EN, DE, FR)[i % 3]] for _ in range(50)]
+    got = model.label_words(" ".join(split))
+    rows, table = model.emissions([split])
+    want = one_recursion(table[rows[0]], np.exp(model.transitions), np.exp(model.first))
+    assert len(got) == 10_000
+    assert np.allclose([g for _, _, g in got], want.max(1), atol=1e-4)
+
+
+def test_tokens_are_whole_words(model):
+    long = "x" * 5000
+    assert len(model.label_words(f"the {long} of")) == 3
+    assert long not in model._cache and "the" in model._cache
+
+
+def test_fit_reads_whole_rows_and_repeated_ids_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, labels: seen.append(sorted(texts)))
+    docs = documents(spark, ["a" * 90, "b" * 60, "c" * 30, "d" * 500, "e", "e2"], ["en"] * 6, [1, 2, 3, 4, 5, 5])
+    language.fit(docs, chars=200)
+    assert len(seen[0]) == 4 and "d" * 500 not in seen[0] and "e" in seen[0]
+    language.fit(docs, per_lang=2, chars=10_000)
+    assert len(seen[1]) == 2
+
+
 def test_language_of_awkward_texts(spark):
     draw = random.Random(5)
     texts = [text_in(draw, v) for v in (EN, DE) for _ in range(30)] + AWKWARD
