@@ -8,8 +8,11 @@ fit on rows the ridge has not seen turns scores into probabilities.
 The fit reads a sample of at most ``FIT_ROWS`` labelled rows, the lowest by a
 hash of the id; scoring is one pass over the texts.  Defined cases: null text
 is empty and is scored as such; without labels of both kinds every score is
-the labels' mean (0.5 without labels); null labels are skipped; repeated rows
-are scored alike; other columns pass through or are ignored.
+the labels' mean (0.5 without labels); null labels are skipped, and so is an
+id labelled both ways; an id that repeats in the documents counts once in the
+fit (its least statistics) and each of its rows is scored; equal scores are one
+point of the isotonic fit; empty tables give no rows; very long texts are read
+whole; other columns pass through or are ignored.
 """
 
 from __future__ import annotations
@@ -123,12 +126,18 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, label, text) of the *rows* labelled documents whose ids hash lowest; only they are broadcast."""
+    """(__key, part, label, text) of the *rows* labelled documents whose ids hash lowest; only their ids are broadcast.
+
+    An id labelled both ways is left out; an id that repeats in *docs* gives a row each time.
+    """
     key = F.col(id_col).cast("long")
-    chosen = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull()).select(key.alias("__key"), F.col(label_col).cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("__key"), "__key", "label").limit(rows)
+    good = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull()).select(key.alias("__key"), F.col(label_col).cast("double").alias("label"))
+    rate = (1.2 * rows + 200) / max(1, good.count())  # a hash threshold first, so that no task sorts many
+    low = good.where(F.pmod(F.xxhash64("__key"), F.lit(1_000_000_000)) < F.lit(1e9 * rate))
+    one = low.groupBy("__key").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    chosen = one.orderBy(F.pmod(F.xxhash64("__key"), F.lit(1_000_000_000)), "__key").limit(rows)
     texts = docs.select(key.alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "__key").select(F.pmod(F.xxhash64("__key", F.lit(1)), F.lit(4)).alias("part"), "label", "text")
+    return texts.join(F.broadcast(chosen), "__key").select("__key", F.pmod(F.xxhash64("__key", F.lit(1)), F.lit(4)).alias("part"), "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = FIT_ROWS, seed: int = 7) -> QualityModel:
@@ -136,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], ["part", "label", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([statistics(t) for t in b.column(3).to_pylist()], pa.list_(pa.float64()))], ["__key", "part", "label", "x"])
 
-    data = stored(sample_labelled(docs, labels, label_col, rows).mapInArrow(describe, "part long, label double, x array<double>"), "quality-fit")
+    every = sample_labelled(docs, labels, label_col, rows).mapInArrow(describe, "__key long, part long, label double, x array<double>")
+    data = stored(every.groupBy("__key", "part", "label").agg(F.min("x").alias("x")).drop("__key"), "quality-fit")
     d = len(statistics(""))
     stats = data.agg(F.count("*").alias("n"), F.avg("label").alias("y"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d))).first()
     if not stats.n or stats.y in (0.0, 1.0):

@@ -1,19 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers over word classes (insult, threat, target, negation,
-reporting verb) are composed into one machine: a reader that maps words to
-classes, a scope machine that remembers negation and reported speech, and a
-scorer that emits what the clause amounts to.  Only clauses with an insult or
-a threat are read; the rest cost one pass of a multi-pattern matcher.  The
-emitted outcomes of a document are counted by kind, and a logistic model over
-the counts, fitted to labels, weighs them.
-
-Two kinds of words are learned from the training sample: words that stand in
-many different contexts, nearly all in toxic documents, join the insults, and
-stems that recur within toxic documents but hardly within others become coded
-words, of which one alone may be chance.  Copies of a document count once
-there.  The fit reads at most ``FIT_ROWS`` labelled rows.  Defined cases: null text is empty; without labels
-of both kinds built-in weights are used; other columns pass through.
+Small weighted transducers are composed into one machine.  A lexical one reads
+a word as its class (insult, threat, target, negation, reporting verb, coded
+word) with the weight of the word's arc; scope machines remember negation and
+reported speech and take weight off what stands in their scope; a scorer adds
+weight for insults aimed at somebody and for threats with a target.  Weights
+add up along arcs and in composition, so a clause's score is the weight of its
+path.  A document's score is a logistic function of the weights of its
+clauses: their sum, the largest, and the sum per word; nothing else of the
+document enters it.
+
+What is learned from labels enters as weighted arcs: words that stand in many
+different contexts, nearly all in toxic documents, stems that recur within
+toxic documents but hardly within others, and the built-in insults' weights
+where the sample shows that they are common in clean documents.  Copies of a
+document count once there.  A word that repeats the clause's last hit weighs
+nothing more.
+
+Clauses run from end mark to end mark, however long; only those with a hit of
+a multi-pattern matcher are read word by word.  The fit reads labelled rows in
+the order of a hash of the id, at most ``FIT_ROWS`` rows and ``FIT_CHARS``
+characters in all, whole texts (a row that no longer fits is passed over).
+
+Defined cases: null text is empty; without labels of both kinds built-in
+weights are used; null labels are skipped, and so is an id labelled both ways;
+an id that repeats in the documents counts once in the fit (its smallest text)
+and each of its rows is scored; equal texts have equal scores, so nothing is
+decided by ties; empty tables give no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,11 +40,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import within_budget
 from .quality import sample_labelled
 
 FIT_ROWS = 6000
-#: Longer documents take no part in the fit, whose texts are held by the driver.
-FIT_CHARS = 100_000
+#: Characters of the sample's texts in all, which the driver holds.
+FIT_CHARS = 40_000_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, CODED = "ITYNRC"
 LEXICON = {
@@ -51,9 +65,10 @@ LEXICON = {
     REPORT: """said says told called calls wrote writes claimed reported quoted shouted sagte sagt nannte schrieb behauptete
         dit disait appelle écrit affirme dijo dice llamó escribió""".split(),
 }
-KINDS = ("bare", "aimed", "denied", "reported", "threat", "threat_denied", "coded")
-#: Of each kind's log count, of coded words from the second on, of their share of the words, and of 1.
-_DEFAULT = np.array([5.0, 6.0, 0.3, 0.6, 6.0, 0.3, 0.5, 0.0, 0.0, -4.0])
+#: Weights of arcs: a built-in insult, a threat with a target, an insult behind a target, what negation and reporting take off.
+WORD, HARM, AIMED, DENIED, REPORTED = 3.0, 3.0, 1.0, -2.5, -2.5
+#: Of the log sum of a document's clause weights, their log maximum, the log of a hundredfold of their sum a word, and of 1.
+_DEFAULT = np.array([1.5, 1.0, 1.0, -3.0])
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ENDS = ".!?;:\n"
@@ -61,16 +76,16 @@ _END = re.compile(f"[{_ENDS}]")
 
 
 class Transducer:
-    """``arcs[state][symbol] -> (state, output)``; a missing symbol stays and emits nothing."""
+    """``arcs[state][symbol] -> (state, output, weight)``; a missing symbol stays, emits nothing and weighs nothing."""
 
     def __init__(self, arcs: dict, start=0):
         self.arcs, self.start = arcs, start
 
     def step(self, state, symbol):
-        return self.arcs.get(state, {}).get(symbol, (state, None))
+        return self.arcs.get(state, {}).get(symbol, (state, None, 0.0))
 
     def compose(self, other: Transducer, symbols, final: bool = False) -> Transducer:
-        """This machine, then *other* on what this one emits (or the symbol itself where it emits nothing).
+        """This machine, then *other* on what this one emits (or the symbol itself where it emits nothing); weights add.
 
         What *other* does not rewrite passes through, unless it is *final*.
         """
@@ -82,34 +97,34 @@ class Transducer:
                 continue
             arcs[state] = {}
             for symbol in symbols:
-                s, out = self.step(state[0], symbol)
-                t, said = other.step(state[1], out or symbol)
-                arcs[state][symbol] = (s, t), said if final else said or out
+                s, out, w = self.step(state[0], symbol)
+                t, said, v = other.step(state[1], out or symbol)
+                arcs[state][symbol] = (s, t), said if final else said or out, w + v
                 todo.append((s, t))
         return Transducer(arcs, start)
 
 
 def clause_machine() -> Transducer:
     """Negation and reporting scopes composed with the target-insult-threat scorer."""
-    # A negation or reporting verb colours the first insult or threat behind it within the clause.
-    negate = Transducer({0: {NEGATION: (1, None)}, 1: {INSULT: (0, "I-"), THREAT: (0, "T-"), CODED: (0, "I-"), NEGATION: (0, None)}})
-    report = Transducer({0: {REPORT: (1, None)}, 1: {INSULT: (1, "I~"), THREAT: (1, "T~"), CODED: (1, "I~")}})
-    score = {0: {TARGET: (1, None)}, 1: {}}
-    for state in (0, 1):
-        aimed = state == 1
-        score[state] |= {INSULT: (state, "aimed" if aimed else "bare"), CODED: (state, "coded"), "I-": (state, "denied"), "I~": (state, "reported"), "T-": (state, "threat_denied"), "T~": (state, "reported")}
-    score[0] |= {THREAT: (2, None)}  # a threat needs a target on either side
-    score[1] |= {THREAT: (1, "threat")}
-    score[2] = score[0] | {TARGET: (1, "threat")}
+    # A negation colours the first insult or threat behind it within the clause, a reporting verb all of them.
+    negate = Transducer({0: {NEGATION: (1, None, 0.0)}, 1: {INSULT: (0, "I-", DENIED), THREAT: (0, "T-", DENIED), CODED: (0, "I-", DENIED), NEGATION: (0, None, 0.0)}})
+    report = Transducer({0: {REPORT: (1, None, 0.0)}, 1: {INSULT: (1, "I~", REPORTED), THREAT: (1, "T~", REPORTED), CODED: (1, "I~", REPORTED)}})
+    # 1: a target came; 2: a threat that waits for one, for a threat needs a target on either side.
+    score = {0: {TARGET: (1, None, 0.0), THREAT: (2, None, 0.0)}, 1: {THREAT: (1, "threat", HARM)}, 2: {TARGET: (1, "threat", HARM)}}
+    for state in score:
+        plain = ("aimed", AIMED) if state == 1 else ("bare", 0.0)
+        score[state] |= {INSULT: (state, *plain), CODED: (state, "coded", 0.0), "I-": (state, "denied", 0.0), "I~": (state, "reported", 0.0), "T-": (state, "threat_denied", HARM), "T~": (state, "reported", HARM)}
     symbols = (*LEXICON, CODED)
     return report.compose(negate, symbols).compose(Transducer(score), symbols, final=True)
 
 
 @dataclass
 class ToxicityModel:
+    """``learned`` and ``stems`` give the weights of words' and stems' arcs, ``weights`` those of the document's score."""
+
     weights: np.ndarray = field(default_factory=lambda: _DEFAULT.copy())
-    learned: tuple[str, ...] = ()
-    stems: tuple[str, ...] = ()
+    learned: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self._ready = None
@@ -118,16 +133,16 @@ class ToxicityModel:
         return {"weights": self.weights, "learned": self.learned, "stems": self.stems, "_ready": None}
 
     def ready(self):
-        """Matcher, word classes and machine, built once a process."""
+        """Matcher, lexical arcs (class, weight) and machine, built once a process."""
         if self._ready is None:
             import ahocorasick
 
-            of: dict[str, str] = {}
+            of: dict[str, tuple[str, float]] = {}
             for kind in (REPORT, TARGET, NEGATION, THREAT, INSULT):
-                of.update(dict.fromkeys(LEXICON[kind], kind))
-            of.update(dict.fromkeys(self.learned, INSULT))
+                of.update(dict.fromkeys(LEXICON[kind], (kind, WORD if kind == INSULT else 0.0)))
+            of.update((w, (INSULT, weight)) for w, weight in self.learned.items())
             matcher = ahocorasick.Automaton()
-            for word, kind in of.items():
+            for word, (kind, _) in of.items():
                 if kind in (INSULT, THREAT):
                     matcher.add_word(word, len(word))
             for stem in self.stems:
@@ -136,13 +151,19 @@ class ToxicityModel:
             self._ready = matcher, of, clause_machine()
         return self._ready
 
+    def lexical(self, word: str) -> tuple[str, float] | None:
+        """(class, weight) of a lower-case word's arc."""
+        if arc := self.ready()[1].get(word.replace("'", "").replace("’", "")):
+            return arc
+        return next(((CODED, self.stems[word[:n]]) for n in range(3, min(8, len(word)) + 1) if word[:n] in self.stems), None)
+
     def clauses(self, text: str) -> list[tuple[str, list[str]]]:
         """(clause, outcomes) of each clause that the grammar matches."""
-        return [(clause, [said for said, _ in outcomes]) for clause, outcomes in self.matches(text)]
+        return [(text.lower()[a:b], [said for said, _ in outcomes]) for a, b, _, outcomes in self.paths(text)]
 
-    def matches(self, text: str) -> list[tuple[str, list[tuple[str, str]]]]:
-        """(clause, (outcome, word that brought it about)) of each clause that the grammar matches."""
-        matcher, of, machine = self.ready()
+    def paths(self, text: str) -> list[tuple[int, int, float, list[tuple[str, str]]]]:
+        """(begin, end, weight of the path, (outcome, word that brought it about)) of each clause that the grammar matches."""
+        matcher, _, machine = self.ready()
         low, found, done, stems = text.lower(), [], -1, self.stems
         for last, n in matcher.iter(low):
             first = last + 1 - n
@@ -154,29 +175,33 @@ class ToxicityModel:
             begin = max(max(0, done), *(low.rfind(mark, max(0, done), first) + 1 for mark in _ENDS))
             end = _END.search(low, last)
             done = end.start() if end else len(low)
-            state, outcomes = machine.start, []
+            state, weight, hit, outcomes = machine.start, 0.0, None, []
             for m in _WORD.finditer(low, begin, done):
-                kind = of.get(m[0].replace("'", "").replace("’", "")) or (CODED if stems and m[0].startswith(stems) else None)
-                if kind:
-                    state, said = machine.step(state, kind)
+                if arc := self.lexical(m[0]):
+                    state, said, w = machine.step(state, arc[0])
                     if said:
                         outcomes.append((said, m[0]))
+                        weight += 0.0 if m[0] == hit else arc[1] + w
+                        hit = m[0]
             if outcomes:
-                found.append((low[begin:done], outcomes))
+                found.append((begin, done, weight, outcomes))
         return found
 
     def features(self, text: str) -> np.ndarray:
-        found = [x for _, outcomes in self.matches(text) for x in outcomes]
-        counts = Counter(said for said, _ in found)
-        counts["coded"] = coded = len({word for said, word in found if said == "coded"})  # one repeated may still be chance
-        share = min(1.0, 100 * coded / (text.count(" ") + 50)) if coded > 1 else 0.0
-        return np.array([np.log1p(counts[k]) for k in KINDS] + [float(coded > 1), share, 1.0])
+        weights = [max(0.0, w) for _, _, w, _ in self.paths(text)]
+        total = sum(weights)
+        return np.log1p([total, max(weights, default=0.0), 100 * total / (text.count(" ") + 50), np.e - 1])
 
     def score(self, texts) -> np.ndarray:
         x = np.array([self.features(t or "") for t in texts]).reshape(len(texts), -1)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
+def _arc_weight(odds: float) -> float:
+    """Half the log odds, at most a built-in insult's weight."""
+    return float(min(WORD, max(0.0, np.log(odds) / 2)))
+
+
 def _contexts(texts: list[str], toxic: list[float], least: int, found) -> list[tuple[str, int, float]]:
     """(item, contexts in toxic texts, odds) of items with enough contexts in toxic texts.
 
@@ -196,8 +221,8 @@ def _contexts(texts: list[str], toxic: list[float], least: int, found) -> list[t
     return [(x, len(seen[1][x]), len(seen[1][x]) / n[1] / ((len(seen[0].get(x, ())) + 0.5) / n[0])) for x in sorted(wanted)]
 
 
-def learn_stems(texts: list[str], toxic: list[float], least: int = 8, odds: float = 20.0) -> tuple[str, ...]:
-    """Word beginnings of 3 to 8 letters that recur in at least *least* unlike toxic texts, *odds* times as often as in others.
+def learn_stems(texts: list[str], toxic: list[float], least: int = 8, odds: float = 20.0) -> dict[str, float]:
+    """Weights of word beginnings of 3 to 8 letters that recur in at least *least* unlike toxic texts, *odds* times as often as in others.
 
     Texts in which a beginning first stands between the same words count once, so that copies do.
     """
@@ -215,41 +240,53 @@ def learn_stems(texts: list[str], toxic: list[float], least: int = 8, odds: floa
                         first[p] = i
         return twice.items()
 
-    found = [(c, len(p), p) for p, c, o in _contexts(texts, toxic, least, recurring) if o >= odds]
-    longer = {p[:k]: max(c for c, _, q in found if q.startswith(p[:k]) and len(q) > k) for _, n, p in found for k in range(3, n)}
+    found = [(c, len(p), p, o) for p, c, o in _contexts(texts, toxic, least, recurring) if o >= odds]
+    longer = {p[:k]: max(c for c, _, q, _ in found if q.startswith(p[:k]) and len(q) > k) for _, n, p, _ in found for k in range(3, n)}
     found = [x for x in found if longer.get(x[2], 0) < 0.75 * x[0]]  # the longer of two nested beginnings, unless it loses much
-    kept: list[str] = []
-    for _, _, p in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
+    kept: dict[str, float] = {}
+    for _, _, p, o in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
         if not any(p.startswith(k) or k.startswith(p) for k in kept):
-            kept.append(p)
-    return tuple(sorted(kept))
+            kept[p] = _arc_weight(o)
+    return kept
 
 
-def learn_words(texts: list[str], toxic: list[float], stems: tuple[str, ...] = (), least: int = 12, odds: float = 40.0) -> tuple[str, ...]:
-    """Words with at least *least* distinct contexts in toxic texts, *odds* times as frequent there as in others."""
+def learn_words(texts: list[str], toxic: list[float], stems=(), least: int = 12, odds: float = 40.0) -> dict[str, float]:
+    """Weights of words with at least *least* distinct contexts in toxic texts, *odds* times as frequent there as in others."""
 
     def places(words, wanted):
         return [(w, i) for i, w in enumerate(words) if len(w) > 2 and (wanted is None or w in wanted)]
 
-    return tuple(w for w, _, o in _contexts(texts, toxic, least, places) if o >= odds and not (stems and w.startswith(stems)))
+    stems = tuple(stems)
+    return {w: _arc_weight(o) for w, _, o in _contexts(texts, toxic, least, places) if o >= odds and not (stems and w.startswith(stems))}
+
+
+def learn_insults(texts: list[str], toxic: list[float], least: int = 5) -> dict[str, float]:
+    """Smaller weights for built-in insults that at least *least* clean texts hold and that are not much commoner in toxic ones."""
+    held: tuple[Counter, Counter] = Counter(), Counter()
+    known = set(LEXICON[INSULT])
+    for text, label in zip(texts, toxic):
+        held[int(label)].update(known.intersection(_WORD.findall(text.lower())))
+    n = [max(1, toxic.count(k)) for k in (0.0, 1.0)]
+    weight = {w: _arc_weight((held[1][w] + 0.5) / n[1] / (c / n[0])) for w, c in held[0].items() if c >= least}
+    return {w: x for w, x in weight.items() if x < WORD}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
-    sample = sample_labelled(docs, labels, label_col, rows).where(F.length("text") <= FIT_CHARS).select("label", "text").toLocalIterator()
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ToxicityModel:
+    sample = sample_labelled(docs, labels, label_col, rows).groupBy("__key", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("__key"), "__key")
     texts, y = [], []
-    for r in sample:  # the bounded sample
+    for r in within_budget(sample.toLocalIterator(), lambda r: len(r.text), chars):
         texts.append(r.text)
         y.append(r.label)
     if len(set(y)) < 2:
         return ToxicityModel()
     stems = learn_stems(texts, y)
-    model = ToxicityModel(learned=learn_words(texts, y, stems), stems=stems)
+    model = ToxicityModel(learned=learn_insults(texts, y) | learn_words(texts, y, stems), stems=stems)
     x, label = np.array([model.features(t) for t in texts]), np.array(y)
     w, prior = np.zeros(x.shape[1]), _DEFAULT
-    for _ in range(50):  # Newton steps; the prior keeps kinds the sample lacks at their built-in weights
+    for _ in range(100):  # Newton steps; the prior holds what the sample does not settle
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (label - p) - 0.5 * (w - prior))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (label - p) - 0.3 * (w - prior))
         w = w + step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-6:
             break

@@ -213,6 +213,102 @@ def test_grammar_outcomes():
     assert outcomes("") == [] and outcomes("perfectly nice words for you") == []
 
 
+def interpreted(words_, model):
+    """(outcomes, weight) of a clause by plain rules, word after word."""
+    denied = reported = aimed = threatened = False
+    out, weight, last = [], 0.0, None
+    for word in words_:
+        kind = next((k for k, names in toxicity.LEXICON.items() if word in names), None)
+        stem = next((s for s in model.stems if word.startswith(s)), None)
+        if kind is None and stem:
+            kind = "C"
+        said, w = None, 0.0
+        if kind == "R":
+            reported = True
+        elif kind == "N":
+            denied = not denied
+        elif kind == "Y":
+            if threatened:
+                said, w = "threat", toxicity.HARM
+            aimed, threatened = True, False
+        elif kind in ("I", "C"):
+            base = model.stems[stem] if kind == "C" else model.learned.get(word, toxicity.WORD)
+            if reported:
+                said, w = "reported", base + toxicity.REPORTED
+            elif denied:
+                said, w, denied = "denied", base + toxicity.DENIED, False
+            elif kind == "C":
+                said, w = "coded", base
+            else:
+                said, w = ("aimed", base + toxicity.AIMED) if aimed else ("bare", base)
+        elif kind == "T":
+            if reported:
+                said, w = "reported", toxicity.HARM + toxicity.REPORTED
+            elif denied:
+                said, w, denied = "threat_denied", toxicity.HARM + toxicity.DENIED, False
+            elif aimed:
+                said, w = "threat", toxicity.HARM
+            else:
+                threatened = True
+        if said:
+            out.append(said)
+            weight += 0.0 if word == last else w
+            last = word
+    return out, weight
+
+
+def test_composed_machine_equals_a_plain_interpreter():
+    draw = random.Random(21)
+    model = toxicity.ToxicityModel(learned={"ugly": 0.7}, stems={"qqr": 1.9, "zorb": 2.5})
+    some = {k: [w for w in names if w.isascii()][:6] for k, names in toxicity.LEXICON.items()} | {"C": ["qqrxa", "zorblax"], "-": ["table", "fine"], "u": ["ugly"]}
+    for _ in range(3000):
+        clause = [draw.choice(some[draw.choice(list(some))]) for _ in range(draw.randint(1, 14))]
+        want, weight = interpreted(clause, model)
+        found = model.paths(" ".join(clause))
+        assert len(found) <= 1
+        got = found[0] if found else (0, 0, 0.0, [])
+        assert [x for x, _ in got[3]] == want and got[2] == pytest.approx(weight)
+
+
+def test_documents_are_scored_by_clause_weights():
+    model = toxicity.ToxicityModel()
+    at = lambda t: model.score([t])[0]
+    assert at("you are an idiot") > at("what an idiot") > at("he is not an idiot") > at("a fine day")
+    assert at("he is not an idiot") < 0.3 and at("they said he was a moron") < 0.3 < at("i will kill you")
+    assert at("idiot " * 5) == pytest.approx(at("idiot and and and and "), abs=0.01)  # repetition adds nothing
+
+
+def test_common_insults_weigh_less():
+    texts, y = ["the ugly duckling and an idiot"] * 3 + ["ugly weather"] * 40 + ["you idiot"] * 20, [1.0] * 3 + [0.0] * 40 + [1.0] * 20
+    learned = toxicity.learn_insults(texts, y)
+    assert set(learned) == {"ugly"} and learned["ugly"] < 0.5
+
+
+def test_fits_of_awkward_tables(spark):
+    docs = documents(spark, ["you idiot"] * 6 + ["a fine day"] * 6 + ["x", "y"], ids=[*range(12), 3, None])
+    labels = spark.createDataFrame([(i, int(i < 6), int(i >= 6)) for i in range(12)] + [(2, 0, 1), (None, 1, 1), (5, None, None), (99, 1, 0)], "doc_id long, toxic int, quality int")
+    rows = quality.sample_labelled(docs, labels, "toxic", 100).collect()
+    assert sorted(r["__key"] for r in rows) == [0, 1, 3, 3, 4, 5, *range(6, 12)]  # 2 is labelled both ways
+    assert len(quality.sample_labelled(docs, labels, "toxic", 4).collect()) in (4, 5)
+    for fit, column in ((toxicity.fit, "toxic"), (quality.fit, "quality")):
+        for d, l in ((docs, labels), (docs.where("false"), labels), (docs, labels.where("false"))):
+            scores = docs.select(quality.score_column(docs, fit(d, l), F.col("text")).alias("s")).collect()
+            assert len(scores) == 14 and all(0 <= r.s <= 1 for r in scores)
+            assert docs.where("false").select(quality.score_column(docs, fit(d, l), F.col("text"))).count() == 0
+
+
+def test_ridge_from_partition_sums_equals_one_solve(spark):
+    texts, label, _ = corpus(random.Random(30), 120)
+    docs = documents(spark, texts).repartition(5)
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    train = [r for r in quality.sample_labelled(docs, labels, "quality", 1000).collect() if r.part]
+    z = quality.fourier(np.array([quality.statistics(r.text) for r in train]), model.mean, model.scale, model.frequencies, model.phases)
+    y = np.array([r.label for r in train])
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) / quality.FEATURES * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+
+
 def test_learned_words_and_stems():
     draw = random.Random(9)
     texts, y = [], []
@@ -228,7 +324,7 @@ def test_learned_words_and_stems():
     y += [1.0] * 60
     stems = toxicity.learn_stems(texts, y)
     assert "zorblax" in stems and "qqrum" in stems and len(stems) == 2
-    assert toxicity.learn_words(texts, y, stems) == ()
+    assert toxicity.learn_words(texts, y, stems) == {} and all(0 < w <= toxicity.WORD for w in stems.values())
     assert outcomes("here is qqrumxy", stems=stems) == ["coded"]
 
 
