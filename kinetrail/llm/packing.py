@@ -5,16 +5,26 @@ is a bin with a limit on each.  Examples of a partition are packed as they
 stream by: a pool of waiting pieces feeds one open sequence at a time, which
 takes the piece whose demand has the largest dot product with the room left
 (both as shares of the limits), among those that fit.  Where pieces may be
-cut, whole sequences are cut from long examples first, and a sequence that no
-piece fits is filled by a cut; what stays at the end of a partition is cut
-into sequences of power-of-two lengths, which need no padding.
-
-The pool is indexed by length class, so that choosing a piece looks at a
-bounded number of candidates.  No shuffle: partitions pack alone, and sequence
-ids are (partition << 40) + running number, unique without a global count.
+cut, the last piece of a sequence is a front cut to fill it, and an example of
+a sequence's length or more fills sequences, beside waiting pieces if need be.
+A sequence that the limits on segments or loss keep from being full is cut
+back to a power of two, which needs no padding.
+
+Of a document, the opening sentence is the prompt and bears no loss, nor does
+a piece's first token, which has nothing before it in its segment.  With a
+loss limit of 1022 of 1024, a full sequence holds an opening or two pieces.
+
+The pool (``Limits.pool`` pieces, of documents only the ids still waiting) and
+the newest eight pieces of a length class that a choice looks at are
+heuristics: other numbers pack closer or looser, but every limit holds and
+every token is placed with any.  No shuffle: partitions pack alone, and
+sequence ids are (partition << 40) + running number, unique without a global
+count.
 
 Defined cases: null text is empty (the end id alone); an empty table gives no
-pieces; an uncut example over a limit raises; other columns are ignored.
+pieces; rows that repeat an id or a text are packed each; ties go to the
+newest piece; very long texts are cut, and texts are encoded in slices of
+bounded bytes; an uncut example over a limit raises; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,24 +33,26 @@ import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .encoding import CACHE, library_encoder
 
-_SLICE = 512
+_NEWEST = 8
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Of a sequence. ``pool``: waiting pieces before sequences must be closed (bounds memory, not results)."""
+    """Of a sequence. ``pool``: pieces that wait before sequences are closed, a heuristic that also bounds memory."""
 
     tokens: int = 1024
-    segments: int = 256
-    loss_tokens: int = 1024
+    segments: int = 16
+    loss_tokens: int = 1022
     pool: int = 4096
 
 
@@ -48,28 +60,25 @@ class VectorPacker:
     """Pieces ``(key, start, length, loss)`` in, ``(key, start, length, sequence, offset)`` out.
 
     ``loss`` counts the loss-bearing tokens at a piece's end (a masked prompt
-    comes first), so a cut leaves the earlier part with the tokens before.
+    comes first), so a cut leaves the earlier part with the tokens before;
+    *unseen* tokens at the start of any piece bear none.
     """
 
-    def __init__(self, limits: Limits, cut: bool = True):
-        self.limits, self.cut = limits, cut
+    def __init__(self, limits: Limits, cut: bool = True, unseen: int = 0):
+        self.limits, self.cut, self.unseen = limits, cut, unseen
         self.classes: list[list[tuple]] = [[] for _ in range(limits.tokens.bit_length() + 1)]
         self.waiting, self.sequence = 0, 0
 
     def add(self, key, length: int, loss: int) -> Iterator[tuple]:
         lim = self.limits
+        loss = max(0, min(loss, length - self.unseen))
         if not self.cut and (length > lim.tokens or loss > lim.loss_tokens):
             raise ValueError(f"an example of {length} tokens, {loss} with loss, is over the limits of a sequence")
-        start = 0
-        while length - start >= lim.tokens and self.cut:
-            part = lim.tokens
-            part_loss = self._loss(part, length - start, loss)
-            if part_loss > lim.loss_tokens:
-                part, part_loss = part - (part_loss - lim.loss_tokens), lim.loss_tokens
-            yield key, start, part, self.sequence, 0
-            self.sequence, start, loss = self.sequence + 1, start + part, loss - part_loss
-        if start < length:
-            self._put((key, start, length - start, loss))
+        rest = (key, 0, length, loss) if length else None
+        while rest and rest[2] >= lim.tokens and self.cut:
+            rest = yield from self._close(rest)
+        if rest:
+            self._put(rest)
         while self.waiting > lim.pool:
             yield from self._close()
 
@@ -77,22 +86,36 @@ class VectorPacker:
         while self.waiting:
             yield from self._close()
 
+    def _split(self, piece: tuple, part: int) -> tuple[tuple, tuple | None]:
+        """A piece's first *part* tokens, and the rest."""
+        key, start, n, loss = piece
+        if part == n:
+            return piece, None
+        front = self._loss(piece, part)
+        return (key, start, part, front), (key, start + part, n - part, max(0, min(loss - front, n - part - self.unseen)))
+
     @staticmethod
-    def _loss(part: int, length: int, loss: int) -> int:
+    def _loss(piece: tuple, part: int) -> int:
         """Loss-bearing tokens among a piece's first *part* tokens."""
-        return max(0, part - (length - loss))
+        return max(0, part - (piece[2] - piece[3]))
 
     def _put(self, piece: tuple) -> None:
         self.classes[piece[2].bit_length()].append(piece)
         self.waiting += 1
 
+    def _take(self, c: int, i: int) -> tuple:
+        pieces = self.classes[c]
+        pieces[i], pieces[-1] = pieces[-1], pieces[i]
+        self.waiting -= 1
+        return pieces.pop()
+
     def _best(self, room: tuple[int, int, int]) -> tuple | None:
         """The waiting piece of the largest dot product that fits: the newest few of each length class are looked at."""
         lim, best, top = self.limits, None, -1.0
         w = room[0] / lim.tokens**2, room[1] / lim.segments**2, room[2] / lim.loss_tokens**2
         for c in range(room[0].bit_length(), -1, -1):
             pieces = self.classes[c]
-            for i in range(len(pieces) - 1, max(-1, len(pieces) - 9), -1):
+            for i in range(len(pieces) - 1, max(-1, len(pieces) - 1 - _NEWEST), -1):
                 _, _, n, loss = pieces[i]
                 if n <= room[0] and loss <= room[2] and (score := n * w[0] + w[1] + loss * w[2]) > top:
                     best, top = (c, i), score
@@ -100,60 +123,79 @@ class VectorPacker:
                 break  # shorter classes score less, but for masked pieces
         if best is None and not self.cut:  # whole classes before a sequence is closed with room to spare
             best = next(((c, i) for c in range(room[0].bit_length(), -1, -1) for i, p in enumerate(self.classes[c]) if p[2] <= room[0] and p[3] <= room[2]), None)
-        if best is None:
-            return None
-        pieces = self.classes[best[0]]
-        pieces[best[1]], pieces[-1] = pieces[-1], pieces[best[1]]
-        self.waiting -= 1
-        return pieces.pop()
+        return None if best is None else self._take(*best)
 
-    def _close(self) -> Iterator[tuple]:
-        """Fill one sequence and give its pieces."""
+    def _filler(self, room: tuple[int, int, int]) -> tuple | None:
+        """A waiting piece whose front fills the room, the shortest classes first."""
+        for c in range(room[0].bit_length(), len(self.classes)):
+            pieces = self.classes[c]
+            for i in range(len(pieces) - 1, max(-1, len(pieces) - 1 - _NEWEST), -1):
+                if pieces[i][2] >= room[0] and self._loss(pieces[i], room[0]) <= room[2]:
+                    front, rest = self._split(self._take(c, i), room[0])
+                    if rest:
+                        self._put(rest)
+                    return front
+        return None
+
+    def _close(self, lead: tuple | None = None) -> Iterator[tuple]:
+        """Fill one sequence and give its pieces; with a long *lead*, up to its front. What is left of the lead comes back."""
         lim = self.limits
         taken, room = [], (lim.tokens, lim.segments, lim.loss_tokens)
-        while room[0] and room[1] and self.waiting:
-            piece = self._best(room)
-            if piece is None:
-                if not self.cut or (piece := self._cut(room)) is None:
+        while room[0] and room[1]:
+            if lead:
+                if lead[2] >= room[0] and self._loss(lead, room[0]) <= room[2]:
+                    piece, lead = self._split(lead, room[0])
+                elif room[0] == 1 or room[1] == 1:
                     break
+                else:  # something short beside it, else the lead itself in two pieces
+                    small = min(room[0] - 1, max(1, lim.tokens // 4)), room[1] - 1, room[2]
+                    piece = self._best(small) or self._filler(small)
+                    if piece is None and lead[2] > (half := room[0] // 2) and self._loss(lead, half) <= room[2]:
+                        piece, lead = self._split(lead, half)
+            elif self.cut and room[1] == 1:
+                piece = self._filler(room) or self._best(room)
+            else:
+                piece = self._best(room) or (self._filler(room) if self.cut else None)
+            if piece is None:
+                break
             taken.append(piece)
             room = room[0] - piece[2], room[1] - 1, room[2] - piece[3]
-        used = lim.tokens - room[0]
-        if self.cut and room[0] and used & (used - 1):  # no more to come: the largest power of two needs no padding
-            self._trim(taken, 1 << (used.bit_length() - 1))
+        if self.cut and room[0]:
+            used, spare = lim.tokens - room[0], None
+            if not lead and not taken:
+                spare = lead = self._take(c := max(i for i, pieces in enumerate(self.classes) if pieces), len(self.classes[c]) - 1)
+            if lead:  # as much of it as makes a power of two
+                most = used + min(lead[2], room[0], lead[2] - lead[3] + room[2]) * (room[1] > 0)
+                if not most:
+                    raise ValueError("the limits of a sequence admit no token of a piece")
+                total = 1 << (most.bit_length() - 1)
+                if total > used:
+                    piece, lead = self._split(lead, total - used)
+                    taken.append(piece)
+                    used = total
+            if spare and lead:
+                self._put(lead)
+                lead = None
+            if used & (used - 1):
+                self._trim(taken, 1 << (used.bit_length() - 1))
         offset = 0
         for key, start, n, _ in taken:
             yield key, start, n, self.sequence, offset
             offset += n
         self.sequence += 1
-
-    def _cut(self, room: tuple[int, int, int]) -> tuple | None:
-        """The front of a waiting piece, as long as fits."""
-        for pieces in reversed(self.classes):
-            if pieces:
-                key, start, n, loss = pieces[-1]
-                part = min(n, room[0], n - loss + room[2])
-                if part <= 0:
-                    continue
-                pieces.pop()
-                self.waiting -= 1
-                front = self._loss(part, n, loss)
-                if part < n:
-                    self._put((key, start + part, n - part, loss - front))
-                return key, start, part, front
-        return None
+        return lead
 
     def _trim(self, taken: list[tuple], total: int) -> None:
         """Give back what lies beyond *total* tokens."""
         used = sum(p[2] for p in taken)
         while used > total:
-            key, start, n, loss = taken.pop()
-            keep = max(0, n - (used - total))
-            front = self._loss(keep, n, loss) if keep else 0
+            piece = taken.pop()
+            keep = max(0, piece[2] - (used - total))
             if keep:
-                taken.append((key, start, keep, front))
-            self._put((key, start + keep, n - keep, loss - front))
-            used -= n - keep
+                front, piece = self._split(piece, keep)
+                taken.append(front)
+            used -= piece[2]
+            self._put(piece)
 
 
 def pack_examples(rows: DataFrame, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
@@ -186,45 +228,72 @@ def _base() -> int:
     return TaskContext.get().partitionId() << 40
 
 
+@lru_cache(2)
+def _sentence_ends(path: str) -> np.ndarray:
+    """Which ids of a tokenizer file end a sentence or a line."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path).get_vocab()
+    out = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    out[[i for piece, i in vocabulary.items() if any(c in piece for c in ".!?\n\u010a")]] = True  # U+010A: a line feed in byte-level vocabularies
+    return out
+
+
+def opening(ids: np.ndarray, ends: np.ndarray) -> int:
+    """Tokens of a text's first sentence or line; none if that is all of it."""
+    found = ends[ids]
+    at = int(found.argmax()) + 1 if len(ids) else 0
+    return at if at < len(ids) and found[at - 1] else 0
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; documents are cut freely.
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens; documents are cut freely.
 
     *cache*: pre-tokens that a worker keeps; fewer save memory and cost time.
     """
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        encode, base, packer = library_encoder(tokenizer, cache), _base(), VectorPacker(limits, cut=True)
+        encode, ends, base, packer = library_encoder(tokenizer, cache), _sentence_ends(tokenizer), _base(), VectorPacker(limits, cut=True, unseen=1)
         end = np.array([end_id], "<u4").tobytes()
-        live: dict[int, list] = {}  # documents with pieces still waiting: doc_id, ids, tokens not yet given out
+        live: dict[int, list] = {}  # documents with tokens to place: doc_id, tokens, tokens left, prompt, first id held, ids from there
         n_seen = 0
+        cols: list[list] = [[] for _ in names]
 
-        def out(found) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in names]
+        def place(found: Iterator[tuple]) -> None:
             for key, start, n, sequence, offset in found:
                 doc = live[key]
                 doc[2] -= n
                 if not doc[2]:
                     del live[key]
-                row = doc[0], start, n, zlib.crc32(doc[1][4 * start : 4 * (start + n)]), len(doc[1]) // 4, base + sequence, offset
-                for c, v in zip(cols, row):
+                at = 4 * (start - doc[4])
+                loss = n - min(n, max(1, doc[3] - start))
+                for c, v in zip(cols, (doc[0], start, n, zlib.crc32(doc[5][at : at + 4 * n]), doc[1], base + sequence, offset, loss)):
                     c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            for c in cols:
+                c.clear()
+            return batch
 
         for whole in batches:
-            for i in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(i, _SLICE)
-                found = []
+            for batch in sliced(whole, 1):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                    prompt = opening(np.frombuffer(ids, "<u4"), ends)
                     ids += end
-                    live[n_seen] = [doc_id, ids, len(ids) // 4]
-                    found += packer.add(n_seen, len(ids) // 4, len(ids) // 4)
+                    n = len(ids) // 4
+                    doc = live[n_seen] = [doc_id, n, n, prompt, 0, ids]
+                    place(packer.add(n_seen, n, n - prompt))
+                    if doc[2] < n:  # what was placed at once is the document's front: the rest alone is held
+                        doc[4], doc[5] = n - doc[2], ids[4 * (n - doc[2]) :]
                     n_seen += 1
-                if found:
-                    yield out(found)
-        if found := list(packer.finish()):
-            yield out(found)
+                if cols[0]:
+                    yield flush()
+        place(packer.finish())
+        if cols[0]:
+            yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))

@@ -98,6 +98,7 @@ def check_packing(rows, ids_of, limit=1024):
     sizes = [sum(n for _, n in s) for s in sequences.values()]
     assert max(sizes) <= limit
     assert all(n == limit or n & (n - 1) == 0 for n in sizes)  # no padding at all
+    assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
 
 
 def test_packing_of_awkward_texts(spark, library):
@@ -105,14 +106,57 @@ def test_packing_of_awkward_texts(spark, library):
     check_packing(pack_documents(docs, JSON).collect(), {i: [*library(t), 0] for i, t in enumerate(AWKWARD)})
 
 
-def test_packing_keeps_a_segment_limit(spark, library):
-    texts = ["a"] * 700 + ["b c d " * 900]
-    rows = pack_documents(documents(spark, texts).coalesce(1), JSON, Limits(segments=16)).collect()
-    check_packing(rows, {i: [*library(t), 0] for i, t in enumerate(texts)})
-    per = {}
+def prompt_of(ids, library):
+    """Tokens through the first that ends a sentence or line, unless that is all."""
+    ends = [i for i, x in enumerate(ids) if any(c in library.text(x) for c in ".!?\n")]
+    return ends[0] + 1 if ends and ends[0] + 1 < len(ids) else 0
+
+
+def test_document_packing_keeps_all_three_limits(spark):
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+
+    def ids_of(text):
+        return [*t.encode(text, add_special_tokens=False).ids, 0]
+
+    ids_of.text = lambda i: t.decode([i], skip_special_tokens=False)
+    draw = random.Random(17)
+    texts = ["a"] * 400 + ["b c d " * 2500, "One opening. " + "then much more text " * 700]
+    texts += [" ".join(draw.choice(["Go.", "a", "long", "tale", "told", "twice"]) for _ in range(draw.randint(3, 900))) for _ in range(150)]
+    draw.shuffle(texts)
+    limits = Limits(tokens=512, segments=6, loss_tokens=509, pool=32)
+    rows = pack_documents(documents(spark, texts).coalesce(2), JSON, limits).collect()
+    ids = {i: ids_of(x) for i, x in enumerate(texts)}
+    check_packing(rows, ids, 512)
+    held = {}
     for r in rows:
-        per[r.sequence_id] = per.get(r.sequence_id, 0) + 1
-    assert max(per.values()) <= 16
+        prompt = prompt_of(ids[r.doc_id][:-1], ids_of)
+        assert r.loss_tokens == r.length - min(r.length, max(1, prompt - r.start))
+        n, loss = held.get(r.sequence_id, (0, 0))
+        held[r.sequence_id] = n + 1, loss + r.loss_tokens
+    assert max(n for n, _ in held.values()) == 6 and max(loss for _, loss in held.values()) == 509
+    full = sum(sum(r.length for r in rows if r.sequence_id == s) == 512 for s in held)
+    assert full >= 0.8 * sum(map(len, ids.values())) / 512
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 200), st.integers(0, 40)), max_size=40), st.sampled_from([16, 64, 128]), st.integers(1, 6), st.integers(1, 128), st.sampled_from([1, 4, 64]))
+def test_any_limits_hold(examples, tokens, segments, loss_tokens, pool):
+    packer, out = VectorPacker(Limits(tokens, segments, loss_tokens, pool), cut=True, unseen=1), []
+    for i, (n, prompt) in enumerate(examples):
+        out += packer.add(i, n, max(0, n - prompt))
+    out += packer.finish()
+    covered, held = {}, {}
+    for key, start, n, sequence, offset in out:
+        covered.setdefault(key, []).append((start, n))
+        loss = n - min(n, max(1, examples[key][1] - start))
+        held.setdefault(sequence, []).append((offset, n, loss))
+    for i, (n, _) in enumerate(examples):
+        assert [x for start, m in sorted(covered[i]) for x in range(start, start + m)] == list(range(n))
+    for pieces in held.values():
+        size = sum(n for _, n, _ in pieces)
+        assert [x for o, n, _ in sorted(pieces) for x in range(o, o + n)] == list(range(size))
+        assert size <= tokens and size & (size - 1) == 0 and len(pieces) <= segments and sum(x for _, _, x in pieces) <= loss_tokens
 
 
 def test_vector_packing_of_whole_examples(spark):
