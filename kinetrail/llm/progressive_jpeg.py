@@ -8,33 +8,45 @@ a symbol.  The transform uses whole-number bases in doubles, exact in any
 order of summation, so that equal images give equal tensors everywhere.
 
 ``encode_payloads`` stores bytes losslessly in the format's own unit, the
-quantised coefficient: byte b is the coefficient b + 2 in zigzag order, in
-4:2:0 units of four luma and two chroma blocks, nine scans and a restart
-interval of one unit.
-
-Defined cases: null text is empty (a payload of 576 bytes of 255); a file that
-is no progressive 8-bit JPEG, or is damaged, raises in ``decode_many`` and is a
-null tensor in ``tensors``; other columns are ignored.
+quantised coefficient: the commoner a byte is in text, the smaller its
+coefficient (the filling byte is zero), in zigzag order, in 4:2:0 units of four
+luma and two chroma blocks.  Nine scans: two spectral bands of luma, and every
+coefficient's last bit in a refinement, so that zero runs, ends of bands over
+several blocks and newly significant coefficients all occur.
+
+``store_texts`` writes the files to a table in shared storage, ``decode_media``
+reads them from there and gives payloads and RGB tensors as columns.
+
+Defined cases: null text is empty (a payload of 576 bytes of 255); rows that
+repeat an id or a text are stored each, equal texts equally; nothing is
+ordered, so there are no ties; very long texts become images of many rows; an
+empty table gives no rows; a file that is no progressive 8-bit JPEG, or is
+damaged, raises in ``decode_many`` and is null in ``tensors`` and
+``decode_media``; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+
+from .common import sliced, stored
 
 UNIT = 576
 _MCU = 384
-_SLICE_BYTES = 1_500_000
+#: Units or blocks between restart markers: what is decoded side by side.
+RESTART = 8
+_SLICE_BYTES = 4_000_000
 _TAG = b"payload:"
 
 
@@ -72,39 +84,155 @@ def _table(kind: int, symbols: list[int], lengths: list[int]) -> bytes:
     return b"\xff\xc4" + struct.pack(">H", len(body) + 2) + body
 
 
-#: Symbols by likelihood for text: sizes of AC values, of DC differences, and the end-of-block of refinements.
-_AC, _DC, _LENGTHS = [6, 5, 7, 8, 3, 4, 2, 1], [0, 5, 4, 3, 6, 2, 7, 1, 8, 9], [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+def _shares(kind: str) -> dict[int, float]:
+    """How often a table's symbols are expected in text: runs get rarer by a factor, sizes by a share each."""
+    if kind == "dc":
+        return dict(enumerate((3, 5, 9, 12, 10, 8, 6, 5, 3)))
+    ends = {n << 4: 2.0 / (1 + 4 * n) for n in range(15)}
+    if kind == "refine":
+        return ends | {r << 4 | 1: 30 * 0.1**r for r in range(16)} | {0xF0: 1e-3}
+    sizes = (28, 34, 26, 7, 2.5, 0.6, 1.5)
+    return ends | {r << 4 | n + 1: w * 0.33**r for r in range(16) for n, w in enumerate(sizes)} | {0xF0: 1e-3}
+
+
+@lru_cache(3)
+def _huffman(kind: str) -> tuple[list[int], list[int]]:
+    """(symbols, code lengths) of a prefix code for the expected shares, at most 16 bits; no code is all ones."""
+    share = _shares(kind)
+    least = sum(share.values()) / 2**11
+    heap = [(max(w, least), i, (i,)) for i, w in enumerate([*share.values(), 0.0])]  # the last takes the code of ones
+    depth = [0] * len(heap)
+    heapify(heap)
+    while len(heap) > 1:
+        (w, i, x), (v, j, y) = heappop(heap), heappop(heap)
+        for k in (*x, *y):
+            depth[k] += 1
+        heappush(heap, (w + v, min(i, j), (*x, *y)))
+    depth[-1] = 99
+    order = sorted(range(len(depth) - 1), key=lambda k: (depth[k], k))
+    longest = max(depth[:-1])
+    codes = _codes([depth[k] for k in order])
+    if codes[-1] == (1 << longest) - 1 or longest > 16:
+        raise AssertionError("no valid code")
+    symbols = list(share)
+    return [symbols[k] for k in order], [depth[k] for k in order]
+
+
+@lru_cache(3)
+def _lookup(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    code, size = np.zeros(256, "i8"), np.zeros(256, "i8")
+    symbols, lengths = _huffman(kind)
+    code[symbols], size[symbols] = _codes(lengths), lengths
+    return code, size
 
 
-@lru_cache(2)
-def _lookup(ac: bool) -> tuple[np.ndarray, np.ndarray]:
-    code, size = np.zeros(16, "i8"), np.zeros(16, "i8")
-    symbols = _AC if ac else _DC
-    for s, c, n in zip(symbols, _codes(_LENGTHS[: len(symbols)]), _LENGTHS):
-        code[s], size[s] = c, n
-    return code, size
+#: Fixed value of the stored form: bytes from the commonest on; the others follow in ascending order.
+_COMMON = b"\xff etnairsodlhucm\xc3gpbfvwzkyqjx.,\n"
+
+
+@lru_cache(1)
+def coefficient_of_byte() -> np.ndarray:
+    """0, 1, -1, 2, -2, ... in the order of frequency."""
+    order = [*_COMMON, *(b for b in range(256) if b not in _COMMON)]
+    out = np.empty(256, "i8")
+    rank = np.arange(256)
+    out[order] = np.where(rank % 2, (rank + 1) // 2, -(rank // 2))
+    return out
+
+
+@lru_cache(1)
+def _byte_of_coefficient() -> np.ndarray:
+    out = np.zeros(257, "u1")
+    out[coefficient_of_byte() + 128] = np.arange(256)
+    return out
 
 
 def _magnitude(v: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(v).astype("f8"))[1].astype("i8")
 
 
-def _pack(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bytes a lane) of each lane's codes, the last byte filled with ones."""
-    bits = sizes.sum(1)
+def _bits_of(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A value's extra bits."""
+    return np.where(v < 0, v + (1 << size) - 1, v)
+
+
+def _pack(codes: np.ndarray, sizes: np.ndarray, lane: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes a lane) of codes in the order of their lanes, each lane's last byte filled with ones."""
+    bits = np.bincount(lane, sizes, n_lanes).astype("i8")
     n = (bits + 7) >> 3
     start = np.cumsum(n) - n
-    at = (8 * start)[:, None] + np.cumsum(sizes, 1) - sizes
-    value, byte = (codes << (24 - (at & 7) - sizes)).ravel(), (at >> 3).ravel()
+    at = np.cumsum(sizes) - sizes + (8 * start - (np.cumsum(bits) - bits))[lane]
     total = int(n.sum())
-    out = np.bincount(byte, value >> 16, total + 2)
-    out += np.bincount(byte + 1, (value >> 8) & 255, total + 2)[: total + 2]
-    out += np.bincount(byte + 2, value & 255, total + 3)[: total + 2]
-    out = out[:total].astype("u1")
+    value, word, most = codes.astype("u8") << (64 - (at & 31) - sizes).astype("u8"), at >> 5, (total >> 2) + 3
+    words = np.bincount(word, value >> np.uint64(32), most)[:most].astype("u4")
+    over = np.flatnonzero(value & np.uint64(0xFFFFFFFF))
+    words += np.bincount(word[over] + 1, value[over] & np.uint64(0xFFFFFFFF), most)[:most].astype("u4")
+    out = words.astype(">u4").view("u1")[:total].copy()
     out[start + n - 1] |= ((1 << (8 * n - bits)) - 1).astype("u1")
     return out, n
 
 
+def _band_ends(open_: np.ndarray, empty: np.ndarray, lane: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, code, size) of the ends of bands: one for a block and the empty ones that follow it in its lane."""
+    follows = np.zeros(len(lane), bool)
+    follows[1:] = open_[:-1] & (lane[1:] == lane[:-1]) & empty[1:]
+    begins = open_ & ~follows
+    run = np.bincount(np.cumsum(begins)[open_] - 1)
+    n = np.frexp(run.astype("f8"))[1].astype("i8") - 1
+    code, length = _lookup(kind)
+    return np.flatnonzero(begins), code[n << 4] << n | (run - (1 << n)), length[n << 4] + n
+
+
+def _first_codes(part: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, size, lane) of a band's first scan."""
+    block, k = np.nonzero(part)
+    v = part[block, k]
+    before = np.concatenate([[-1], k[:-1]])
+    before[np.flatnonzero(np.diff(block, prepend=-1))] = -1
+    run, size = k - before - 1, _magnitude(v)
+    code, length = _lookup("first")
+    symbol = (run & 15) << 4 | size
+    codes, sizes = code[symbol] << size | _bits_of(v, size), length[symbol] + size
+    if (long := run >> 4).any():
+        last = np.cumsum(long + 1) - 1
+        block, codes, sizes = (np.repeat(x, long + 1) for x in (block, codes, sizes))
+        rest = np.ones(len(block), bool)
+        rest[last] = False
+        codes[rest], sizes[rest] = code[0xF0], length[0xF0]
+    count = np.bincount(block, minlength=len(part))
+    at, end, end_size = _band_ends(part[:, -1] == 0, count == 0, lane, "first")
+    place = np.cumsum(count)[at]
+    return np.insert(codes, place, end), np.insert(sizes, place, end_size), lane[np.insert(block, place, at)]
+
+
+def _refinement_codes(part: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, size, lane) of a band's scan of the last bit: a symbol for each new coefficient, then the old ones' bits up to it."""
+    size_ = np.abs(part)
+    width = part.shape[1]
+    old, new, zero = size_ > 1, size_ == 1, size_ == 0
+    has = new.any(1)
+    last = np.where(has, width - 1 - new[:, ::-1].argmax(1), -1)
+    stops, since = new.copy(), np.zeros(part.shape, "i1")  # zeros behind the last new coefficient
+    some = np.flatnonzero(zero.any(1))
+    zeros = np.cumsum(zero[some], 1, dtype="i1")
+    since[some] = zeros
+    since[some, 1:] -= np.maximum.accumulate(np.where(new[some], zeros, 0), 1)[:, :-1]
+    stops[some] |= zero[some] & (since[some] > 0) & (since[some] % 16 == 0) & (np.arange(width) < last[some, None])  # sixteen zeros are a symbol of their own
+    segment = np.cumsum(stops, 1, dtype="i1") - stops
+    code, length = _lookup("refine")
+    block, k = np.nonzero(stops)
+    fresh = new[block, k]
+    symbol = np.where(fresh, (since[block, k].astype("i8") & 15) << 4 | 1, 0xF0)
+    codes = np.where(fresh, code[symbol] << 1 | (part[block, k] > 0), code[symbol])
+    at, end, end_size = _band_ends(last < width - 1, ~has, lane, "refine")
+    old_block, old_k = np.nonzero(old)
+    keys = np.concatenate([(block * 64 + segment[block, k]) * 2, (at * 64 + stops.sum(1)[at]) * 2, (old_block * 64 + segment[old_block, old_k]) * 2 + 1])
+    order = np.argsort(keys, kind="stable")
+    every = np.concatenate([codes, end, size_[old_block, old_k] & 1])[order]
+    sizes = np.concatenate([length[symbol] + fresh, end_size, np.ones(len(old_block), "i8")])[order]
+    return every, sizes, lane[np.concatenate([block, at, old_block])[order]]
+
+
 def _intervals(flat: np.ndarray, sizes: np.ndarray, lanes: np.ndarray) -> list[bytes]:
     """Each image's scan data: stuffed, with restart markers between its lanes."""
     full = flat == 255
@@ -138,32 +266,42 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     grids = [_grid(len(p)) for p in payloads]
     units = np.array([r * c for r, c in grids])
     raw = np.frombuffer(b"".join(p + b"\xff" * (int(n) * _MCU - len(p)) for p, n in zip(payloads, units)), "u1")
-    v = raw.reshape(-1, 6, 64).astype("i8") + 2
+    v = coefficient_of_byte()[raw].reshape(-1, 6, 64)
     first = np.cumsum(units) - units
     raster = np.concatenate([_luma_raster(*g) + 4 * f for g, f in zip(grids, first.tolist())])
     planes = [v[:, :4].reshape(-1, 64)[raster], v[:, 4], v[:, 5]]
-    lanes = [4 * units, units, units]
 
-    high = v[:, :, 0] >> 1
+    def lanes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Restart intervals of each image, and each block's (or unit's) interval."""
+        n = -(-counts // RESTART)
+        within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        return n, within // RESTART + np.repeat(np.cumsum(n) - n, counts)
+
+    by_unit, by_luma = lanes_of(units), lanes_of(4 * units)
+
+    def scan(lanes: tuple[np.ndarray, np.ndarray], codes: np.ndarray, sizes: np.ndarray, lane: np.ndarray) -> list[bytes]:
+        return _intervals(*_pack(codes, sizes, lane, int(lanes[0].sum())), lanes[0])
+
+    high, (count, lane) = v[:, :, 0] >> 1, by_unit
     diff = high.copy()
-    diff[:, 1:4] -= high[:, 0:3]
-    size, (code, length) = _magnitude(diff), _lookup(False)
-    scans = [(b"\x03\x01\x00\x02\x00\x03\x00\x00\x00\x01", _intervals(*_pack((code[size] << size) | np.where(diff < 0, diff + (1 << size) - 1, diff), length[size] + size), units))]
-    low = np.ones((len(v), 8), "u1")
-    low[:, :6] = v[:, :, 0] & 1
-    scans.append((b"\x03\x01\x00\x02\x00\x03\x00\x00\x00\x10", _intervals(np.packbits(low), np.ones(len(v), "i8"), units)))
-    code, length = _lookup(True)
+    diff[:, 1:4] -= high[:, :3]
+    inside = np.flatnonzero(lane[1:] == lane[:-1]) + 1  # units with one before them in their interval
+    diff[inside, 0] -= high[inside - 1, 3]
+    diff[inside, 4:] -= high[inside - 1, 4:]
+    diff, each = diff.ravel(), np.repeat(lane, 6)
+    size, (code, length) = _magnitude(diff), _lookup("dc")
+    together = b"\x03\x01\x00\x02\x00\x03\x00\x00\x00"
+    scans = [(together + b"\x01", scan(by_unit, code[size] << size | _bits_of(diff, size), length[size] + size, each))]
+    scans.append((together + b"\x10", scan(by_unit, v[:, :, 0].ravel() & 1, np.ones(len(each), "i8"), each)))
     for c, a, b in ((0, 1, 5), (0, 6, 63), (1, 1, 63), (2, 1, 63)):
-        part = planes[c][:, a : b + 1] >> 1
-        size = _magnitude(part)
-        scans.append((bytes([1, c + 1, 0, a, b, 0x01]), _intervals(*_pack((code[size] << size) | part, length[size] + size), lanes[c])))
+        part, lanes = planes[c][:, a : b + 1], (by_unit if c else by_luma)
+        scans.append((bytes([1, c + 1, 0, a, b, 0x01]), scan(lanes, *_first_codes(np.sign(part) * (np.abs(part) >> 1), lanes[1]))))
     for c in range(3):
-        bits = np.zeros((len(planes[c]), 64), "u1")  # an end-of-block, whose code is a zero, and the corrections
-        bits[:, 1:] = planes[c][:, 1:] & 1
-        scans.append((bytes([1, c + 1, 1, 1, 63, 0x10]), _intervals(np.packbits(bits), np.full(len(bits), 8), lanes[c])))
+        lanes = by_unit if c else by_luma
+        scans.append((bytes([1, c + 1, 1, 1, 63, 0x10]), scan(lanes, *_refinement_codes(planes[c][:, 1:], lanes[1]))))
 
     tables = b"\xff\xdb\x00\x43\x00" + b"\x01" * 64
-    huffman = _table(0x00, _DC, _LENGTHS) + _table(0x10, _AC, _LENGTHS[:8]) + _table(0x11, [0], [1]) + b"\xff\xdd\x00\x04\x00\x01"
+    huffman = _table(0x00, *_huffman("dc")) + _table(0x10, *_huffman("first")) + _table(0x11, *_huffman("refine")) + b"\xff\xdd\x00\x04" + struct.pack(">H", RESTART)
     out = []
     for i, (p, (rows, cols)) in enumerate(zip(payloads, grids)):
         note = _TAG + b"%d" % len(p)
@@ -480,12 +618,24 @@ def _ac_first(scan, bits, lanes, block, coefficients, runs, table) -> None:
 
 
 def _ac_refine(scan, bits, lanes, block, coefficients, runs, table) -> None:
-    a, b, step = scan.start, scan.end, 1 << scan.low
-    p, k = bits.pos[lanes], np.full(len(lanes), a)
-    while len(p):
-        run = runs[lanes]
+    """Symbols step from zero to zero among the band's zeros; where the old coefficients' bits lie is noted and read at the end."""
+    a, width, step = scan.start, scan.end - scan.start + 1, 1 << scan.low
+    rows = coefficients[block, a : scan.end + 1]
+    old = rows != 0
+    behind = np.zeros((len(rows), width + 1), "i2")  # old coefficients before each place
+    np.cumsum(old, 1, dtype="i2", out=behind[:, 1:])
+    n_old = behind[:, -1].astype("i8")
+    n_zeros = width - n_old
+    zero_at, first_zero = np.nonzero(~old)[1], np.cumsum(n_zeros) - n_zeros
+    old_row, old_at = np.nonzero(old)
+    first_old = np.cumsum(n_old) - n_old
+    zero_at = np.append(zero_at, 0)
+    row, p, k, z = np.arange(len(lanes)), bits.pos[lanes], np.zeros(len(lanes), "i8"), np.zeros(len(lanes), "i8")
+    noted, fresh_at = [], []
+    while len(row):
+        run = runs[lanes[row]]
         fresh = run == 0
-        r, s, new = np.full(len(p), 64), np.zeros(len(p), "i8"), np.zeros(len(p), "i8")
+        r, value, sign = np.full(len(row), 64), np.zeros(len(row), bool), 0
         if fresh.any():
             window, f = bits.look(p)
             found = np.where(fresh, table[(window >> (24 - f)) & 0xFFFF], 0)
@@ -498,32 +648,35 @@ def _ac_refine(scan, bits, lanes, block, coefficients, runs, table) -> None:
             p = p + n + np.where(fresh, more, 0)
             run = np.where(end, (1 << r0) + v, run)
             go = fresh & ~end
-            r, s, new = np.where(go, r0, r), np.where(go, s0, s), np.where(v > 0, step, -step)
-        rows = coefficients[block, a : b + 1]
-        old = rows != 0
-        ahead = np.arange(a, b + 1) >= k[:, None]
-        if (r >= 64).all():  # ends of blocks only
-            stop, mine = np.full(len(p), b + 1), old & ahead
-        else:
-            zeros = np.cumsum(~old & ahead, 1)
-            stop = a + (zeros <= r[:, None]).sum(1)  # the (r + 1)th zero history ahead, or the band's end
-            mine = old & ahead & (np.arange(a, b + 1) < stop[:, None])
-        rank = np.cumsum(mine, 1)
-        at = p[:, None] + rank - 1
-        if len(at) and at.max() > bits.most:
+            r, value, sign = np.where(go, r0, r), go & (s0 > 0), np.where(v > 0, step, -step)
+        inside = z + r < n_zeros[row]
+        stop = np.where(inside, zero_at[np.where(inside, first_zero[row] + z + r, -1)], width)
+        begin = behind[row, k].astype("i8")
+        count = behind[row, stop] - begin
+        noted.append((first_old[row] + begin, count, p))
+        p = p + count
+        if (put := value & inside).any():
+            fresh_at.append((block[row[put]] * 64 + a + stop[put], sign[put]))
+        runs[lanes[row]] = np.where(run > 0, run - 1, 0)
+        k, z = stop + 1, z + r + 1
+        done = (k >= width) | (run > 0)
+        if done.any():
+            bits.pos[lanes[row[done]]] = p[done]
+            stay = ~done
+            row, p, k, z = row[stay], p[stay], k[stay], z[stay]
+    flat = coefficients.reshape(-1)
+    first, count, at = (np.concatenate(x) for x in zip(*noted))
+    within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at, which = np.repeat(at, count) + within, np.repeat(first, count) + within
+    if len(at):
+        if at.max() > bits.most:
             raise ValueError("a scan ends early")
-        fix = mine & (bits.one(np.maximum(at, 0)) == 1) & ((np.abs(rows) & step) == 0)
-        rows = rows + np.where(fix, np.where(rows > 0, step, -step), 0).astype("i4")
-        coefficients[block, a : b + 1] = rows
-        p = p + rank[:, -1]
-        place = (s > 0) & (stop <= b)
-        coefficients[block[place], stop[place]] = new[place]
-        runs[lanes] = np.where(run > 0, run - 1, 0)
-        k = stop + 1
-        done = (k > b) | (run > 0)
-        bits.pos[lanes[done]] = p[done]
-        stay = ~done
-        p, k, lanes, block = p[stay], k[stay], lanes[stay], block[stay]
+        hit = block[old_row[which]] * 64 + a + old_at[which]
+        was = flat[hit]
+        fix = (bits.one(at) == 1) & ((np.abs(was) & step) == 0)
+        flat[hit[fix]] = was[fix] + np.where(was[fix] > 0, step, -step)
+    for at, sign in fresh_at:
+        flat[at] = sign
 
 
 def read_payload(blocks: list[np.ndarray], picture: Picture) -> bytes:
@@ -533,11 +686,12 @@ def read_payload(blocks: list[np.ndarray], picture: Picture) -> bytes:
         raise ValueError("the file holds no payload")
     rows, cols = picture.height // 16, picture.width // 16
     v = np.empty((rows * cols, 6, 64), "i4")
-    v[:, :4].reshape(-1, 64)
     luma = np.empty((rows * cols * 4, 64), "i4")
     luma[_luma_raster(rows, cols)] = blocks[0]
     v[:, :4], v[:, 4], v[:, 5] = luma.reshape(-1, 4, 64), blocks[1], blocks[2]
-    return (v - 2).astype("u1").tobytes()[:n]
+    if np.abs(v).max(initial=0) > 128:
+        raise ValueError("a coefficient stands for no byte")
+    return _byte_of_coefficient()[v + 128].tobytes()[:n]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -545,68 +699,70 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def _sliced(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about *most* bytes."""
-    values = batch.column(column)
-    sizes = np.diff(values.offsets.to_numpy() if hasattr(values, "offsets") else np.frombuffer(values.buffers()[1], "i4" if values.type in (pa.string(), pa.binary()) else "i8")[values.offset : values.offset + len(values) + 1])
-    cuts = np.flatnonzero(np.diff((np.cumsum(sizes + UNIT) - 1) // most)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as a progressive JPEG file."""
+    """(doc_id, n_bytes, media): each whole text as a progressive JPEG file, written to a table in shared storage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for whole in batches:
-            for batch in _sliced(whole, 1, _SLICE_BYTES):
+            for batch in sliced(whole, 1, _SLICE_BYTES, _SLICE_BYTES, UNIT):
                 sizes, payloads = zip(*map(payload_of, batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(encode_payloads(list(payloads)), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def tensors(media: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """(id, height, width, rgb): the full-resolution tensor of each file, row by row, R G B; null for null or damaged files."""
+_DAMAGED = (ValueError, IndexError, KeyError, struct.error)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _sliced(whole, 1, _SLICE_BYTES):
-                files = batch.column(1).to_pylist()
-                try:
-                    found = iter(decode_many([f for f in files if f is not None]))
-                    rgb = [None if f is None else next(found)[0] for f in files]
-                except (ValueError, IndexError, KeyError, struct.error):  # one by one, to find the damaged
-                    rgb = [_or_none(f) for f in files]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([None if x is None else x.shape[k] for x in rgb], pa.int32()) for k in (0, 1)), pa.array([None if x is None else x.tobytes() for x in rgb], pa.binary())], ["id", "height", "width", "rgb"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, height int, width int, rgb binary")
+def _decoded(files: list[bytes | None]) -> list[tuple | None]:
+    """What ``decode_many`` gives of each file; null for null or damaged files."""
+    try:
+        found = iter(decode_many([f for f in files if f is not None]))
+        return [None if f is None else next(found) for f in files]
+    except _DAMAGED:  # one by one, to find the damaged
+        return [_or_none(f) for f in files]
 
 
 def _or_none(file: bytes | None):
     try:
-        return None if file is None else decode_many([file])[0][0]
-    except (ValueError, IndexError, KeyError, struct.error):
+        return None if file is None else decode_many([file])[0]
+    except _DAMAGED:
         return None
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """What the stored files of ``store_texts`` hold: payload digests and a feature of the RGB tensor."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def _payload_or_none(found: tuple | None) -> bytes | None:
+    try:
+        return None if found is None else read_payload(found[1], found[2])
+    except _DAMAGED:
+        return None
+
+
+def tensors(media: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
+    """(id, height, width, rgb): the full-resolution tensor of each file, row by row, R G B; null for null or damaged files."""
+    rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"))
+    return decode_media(rows).select("id", "height", "width", "rgb")
+
+
+def decode_media(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """*media* with payload (if the file holds one), height, width and rgb (the RGB tensor, row by row) of each file.
+
+    Columns of *media* that have these names give way.
+    """
+    new = {"payload": pa.binary(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
+    rest = [c for c in media.columns if c not in new]
+    place = rest.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for whole in batches:
-            for batch in _sliced(whole, 2, _SLICE_BYTES):
-                files, rows = batch.column(2).to_pylist(), []
-                for file, (rgb, blocks, picture) in zip(files, decode_many(files)):
-                    payload = read_payload(blocks, picture)
-                    mean = rgb.reshape(-1, 3).sum(0, dtype="i8") * 1000 // (rgb.shape[0] * rgb.shape[1])
-                    feature = f"{rgb.shape[1]}x{rgb.shape[0]} mean {mean[0]} {mean[1]} {mean[2]} crc {zlib.crc32(rgb)}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
-                kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for batch in sliced(whole, place, _SLICE_BYTES, _SLICE_BYTES, UNIT):
+                found = _decoded(batch.column(place).to_pylist())
+                rgb = [None if x is None else x[0] for x in found]
+                columns = [map(_payload_or_none, found), *([None if x is None else x.shape[k] for x in rgb] for k in (0, 1)), [None if x is None else x.tobytes() for x in rgb]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(columns, new.values()))], [*rest, *new])
+
+    rows = media.select(*(F.col(f"`{c}`") for c in rest))
+    fields = [StructField(name, IntegerType() if name in ("height", "width") else BinaryType()) for name in new]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *fields]))

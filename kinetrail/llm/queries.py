@@ -63,7 +63,18 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive_jpeg.read_back(progressive_jpeg.store_texts(documents(spark, sf_dir)))
+    found = progressive_jpeg.decode_media(progressive_jpeg.store_texts(documents(spark, sf_dir)))
+    payload, rgb = F.col("payload"), F.col("rgb")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%dx%d rgb %08x", "width", "height", F.crc32(rgb)).alias("feature"),
+    )
 
 
 def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

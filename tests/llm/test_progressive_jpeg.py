@@ -226,10 +226,47 @@ def test_zigzag_order():
 
 def test_payload_round_trips():
     draw = np.random.default_rng(5)
-    payloads = [draw.integers(0, 256, 576 * k, dtype="u1").tobytes() for k in (1, 2, 3, 11)] + [bytes([v]) * 576 for v in (0, 1, 2, 127, 128, 253, 254, 255)]
+    payloads = [draw.integers(0, 256, 576 * k, dtype="u1").tobytes() for k in (1, 2, 3, 11)] + [bytes([v]) * 576 for v in (0, 1, 2, 32, 101, 127, 128, 253, 254, 255)]
+    payloads += [draw.choice(np.frombuffer(b"\xff\xff\xff\xff\xff e", "u1"), 576 * 3, p=[0.19] * 5 + [0.03, 0.02]).tobytes() for _ in range(6)]  # long runs of zeros
+    payloads += [b"some plain words here, " * 100 + b"\xff" * 4]
     files = pj.encode_payloads(payloads)
     assert [pj.read_payload(b, p) for _, b, p in pj.decode_many(files)] == payloads
     assert files == [pj.encode_payloads([p])[0] for p in payloads]
+    assert len(files[-1]) < len(payloads[-1])
+
+
+def test_stored_files_equal_the_plain_encoder(monkeypatch):
+    """The same coefficients through the scalar encoder above, with the stored form's tables."""
+    draw = np.random.default_rng(9)
+    text = b"It was the best of times, it was the worst \xc3\xa9 of times. " * 30
+    payloads = [text + b"\xff" * (-len(text) % 576), draw.choice(np.frombuffer(b"\xff\xff\xff e\x00", "u1"), 576 * 4).tobytes()]
+    together = ((0, 1, 2), 0, 0)
+    script = [(*together, 0, 1), (*together, 1, 0), ((0,), 1, 5, 0, 1), ((0,), 6, 63, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1)] + [((c,), 1, 63, 1, 0) for c in range(3)]
+    for payload, file in zip(payloads, pj.encode_payloads(payloads)):
+        rows, cols = pj._grid(len(payload))
+        v = pj.coefficient_of_byte()[np.frombuffer(payload + b"\xff" * (rows * cols * 384 - len(payload)), "u1")].reshape(rows, cols, 6, 64)
+        luma = v[:, :, :4].reshape(rows, cols, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(2 * rows, 2 * cols, 64)
+        blocks = [luma, v[:, :, 4], v[:, :, 5]]
+
+        def symbol(self, s, ac):
+            kind = "dc" if not ac else "first" if not self.refines else "refine"
+            symbols, lengths = pj._huffman(kind)
+            self.put(pj._codes(lengths)[symbols.index(s)], lengths[symbols.index(s)])
+
+        monkeypatch.setattr(Writer, "symbol", symbol)
+        monkeypatch.setattr(Writer, "refines", False, raising=False)
+        plain = Coder.refine
+        monkeypatch.setattr(Coder, "refine", lambda self, block: (setattr(self.w, "refines", True), plain(self, block)))
+        want = encode(16 * cols, 16 * rows, ((2, 2), (1, 1), (1, 1)), blocks, [1] * 64, script, pj.RESTART)
+        assert [s.data for s in pj.parse(file).scans] == [s.data for s in pj.parse(want).scans]
+        monkeypatch.undo()
+
+
+def test_coefficients_are_a_permutation_and_codes_are_valid():
+    assert sorted(pj.coefficient_of_byte().tolist()) == list(range(-127, 129)) and pj.coefficient_of_byte()[255] == 0
+    for kind in ("dc", "first", "refine"):
+        symbols, lengths = pj._huffman(kind)
+        assert len(set(symbols)) == len(symbols) and sum(2.0**-n for n in lengths) < 1 and max(lengths) <= 16
 
 
 def test_a_payload_of_many_rows_of_units():
@@ -245,19 +282,35 @@ def test_damaged_files_raise():
             pj.decode_many([bad])
 
 
-def test_awkward_texts(spark):
-    docs = documents(spark, AWKWARD)
+def test_awkward_texts(spark, tmp_path, monkeypatch):
+    from kinetrail.llm import queries
+
+    docs = documents(spark, AWKWARD + [AWKWARD[5]], ids=[*range(len(AWKWARD)), 5])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op9_progressive_jpeg(spark, str(tmp_path)).collect()
+    out = {r.doc_id: r for r in rows}
+    assert len(rows) == len(AWKWARD) + 1 and len([r for r in rows if r.doc_id == 5]) == 2
     media = pj.store_texts(docs)
-    out = {r.doc_id: r for r in pj.read_back(media).collect()}
+    assert all("/media-" in f for f in media.inputFiles())  # written, and read from there
     files = {r.doc_id: bytes(r.media) for r in media.collect()}
     for i, t in enumerate(AWKWARD):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
-        r = out[i]
+        r, (rgb, _, _) = out[i], pj.decode_many([files[i]])[0]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(files[i]), hashlib.sha256(files[i]).hexdigest())
+        assert r.feature == f"{rgb.shape[1]}x{rgb.shape[0]} rgb {zlib.crc32(rgb.tobytes()):08x}"
     assert out[0].feature == out[1].feature and out[5].feature == out[6].feature != out[4].feature
-    assert pj.read_back(pj.store_texts(docs.where("false"))).count() == 0
+    assert pj.decode_media(pj.store_texts(docs.where("false"))).count() == 0
+
+
+def test_decoded_columns(spark):
+    rows = [(1, pj.encode_payloads([b"a" * 576])[0], "clash", 7), (2, None, "x", 8), (3, b"junk", "y", 9)]
+    found = pj.decode_media(spark.createDataFrame(rows, "id long, media binary, rgb string, n int"))
+    assert found.columns == ["id", "media", "n", "payload", "height", "width", "rgb"]
+    out = {r.id: r for r in found.collect()}
+    assert bytes(out[1].payload) == b"a" * 576 and out[1].n == 7 and (out[1].height, out[1].width) == (16, 32)
+    assert out[2].payload is None and out[3].rgb is None
 
 
 def test_tensor_column(spark):
