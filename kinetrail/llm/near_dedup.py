@@ -12,7 +12,8 @@
    whose collision-corrected estimate could still mean a link are confirmed on
    the full sets, and links are contracted to components.
 4. Buckets that still hold several components are searched for links between
-   them, blockwise: a task compares the sketches of two blocks, takes only
+   them, blockwise, blocks being bounded by members and by shingles: a task
+   compares the sketches of two blocks, takes only
    pairs whose first common band this is, confirms those that could be links
    on the sets at hand, and gives links between components it has not joined
    yet.  Nothing is dropped, and linked pairs are never all listed.
@@ -36,25 +37,25 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dispose, stored
+from .common import dispose, sliced, stored
 
 BUCKETS = 256
 BAND, BANDS = 6, 42
 MANTISSA = 10
 SHINGLE = 5
-BLOCK = 512
+#: Members, and shingles in all, that a block of a bucket should have at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Rows a broadcast may have; beyond it the same join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: Pairs of one key that a task should have at most.
 HOT_PAIRS = 256
-_SLICE = 512
 _CACHE = 200_000
 _words: dict[bytes, int] = {}
 
-_SKETCH = "id long, n int, f1 long, f2 long, bands array<long>, registers binary"
+_SKETCH = "id long, n int, f1 long, f2 long, registers binary"
 
 
 def _forget() -> None:
@@ -160,30 +161,36 @@ def hopeful(same: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return (100 * least >= percent * np.maximum(a, b)) & (estimate(same, (a + b) / 2) >= t - 6 * error)
 
 
+def band_column(registers_: str) -> Column:
+    """Band keys of sketches: made where they are wanted, not stored beside the registers."""
+
+    @F.pandas_udf("array<long>")
+    def keys(r: pd.Series) -> pd.Series:
+        return pd.Series(list(band_keys(np.frombuffer(b"".join(r), "u2").reshape(len(r), BUCKETS))))
+
+    return keys(registers_)
+
+
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), fingerprint, band keys and registers of each row; null sketches for empty sets."""
+    """id, n (set size), fingerprint and registers of each row; null sketches for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         gc.disable()
         for whole in batches:
-            for i in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(i, _SLICE)
+            for batch in sliced(whole, 1):
                 sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                sketches = [registers(s) if len(s) else None for s in sets]
-                keys = iter(band_keys(np.array([s for s in sketches if s is not None]).reshape(-1, BUCKETS)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([p and int.from_bytes(p[:8], "little", signed=True) for p in prints], pa.int64()),
                         pa.array([p and int.from_bytes(p[8:], "little", signed=True) for p in prints], pa.int64()),
-                        pa.array([None if s is None else next(keys) for s in sketches], pa.list_(pa.int64())),
-                        pa.array([None if s is None else s.tobytes() for s in sketches], pa.binary()),
+                        pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["id", "n", "f1", "f2", "bands", "registers"],
+                    ["id", "n", "f1", "f2", "registers"],
                 )
 
         _forget()
@@ -196,8 +203,9 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).astype("i8") for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "shingles"])
+        for whole in batches:
+            for batch in sliced(whole, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).astype("i8") for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "shingles"])
         _forget()
 
     wanted = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
@@ -229,14 +237,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def _spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+def _spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str, counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """Join on *key* with the pairs of a hot key dealt to several tasks by *by*, and its row of *side* sent to each.
 
     Keys with at least a thousandth of the pairs are hot: a thousand at most.
+    *counts*: (key, count) of the pairs, where it is known.
     """
-    total = pairs.count()
-    counts = pairs.groupBy(key).count().where(F.col("count") > max(HOT_PAIRS, total // 1000))
-    hot = F.broadcast(stored(counts.select(key, F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("__parts")), "hot"))
+    total = pairs.count() if total is None else total
+    counts = pairs.groupBy(key).count() if counts is None else counts
+    least = max(HOT_PAIRS, total // 1000)
+    hot = counts.where(F.col("count") > least).select(key, F.least(F.ceil(F.col("count") / HOT_PAIRS), F.ceil(F.col("count") * 2000 / F.lit(max(1, total))) + 1).cast("int").alias("__parts"))
+    hot = F.broadcast(stored(hot, "hot"))
     dealt = pairs.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts"))).cast("int")).drop("__parts")
     copies = side.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return dealt.join(copies, [key, "__salt"]).drop("__salt")
@@ -256,9 +267,12 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str, tex
 
 def _star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     """Each bucket's members with its smallest one, where sizes and estimate leave hope."""
-    rows = reps.select("id", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    pairs = stored(rows.join(buckets, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star")
+    rows = reps.select("id", F.explode(band_column("registers")).alias("key"))
+    buckets = stored(rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("count")).where("count > 1"), "buckets")
+    total = buckets.agg(F.sum("count")).first()[0] or 0
+    with_least = _spread_join(rows, buckets.select("key", "a"), "key", "id", buckets.select("key", "count"), total)
+    pairs = stored(with_least.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star")
+    dispose(buckets)
     side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
 
     @F.pandas_udf("boolean")
@@ -268,21 +282,25 @@ def _star_pairs(reps: DataFrame, percent: int) -> DataFrame:
 
     joined = _spread_join(pairs, side("a"), "a", "b").join(side("b"), "b")
     sized = joined.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    return sized.where(hope("ra", "rb", "na", "nb")).select("a", "b")
+    hopeful_pairs = stored(sized.where(hope("ra", "rb", "na", "nb")).select("a", "b"), "pairs")
+    dispose(pairs)
+    return hopeful_pairs
 
 
 def _cross_links(docs: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links between the components that share a bucket."""
-    named = reps.join(comps, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("component"))
-    rows = named.select("id", "component", F.posexplode("bands").alias("band", "key"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    members = stored(rows.join(mixed, "key"), "mixed")
+    named = reps.join(comps, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), band_column("registers").alias("bands"))
+    rows = named.select("id", "n", "component", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"), F.sum("n").alias("shingles"))
+    # A bucket of many members or long ones is dealt to blocks: each member goes to the tasks of its block with every block.
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = stored(sizes.where("low < high").select("key", "count", blocks.alias("blocks")), "mixed-keys")
+    total = mixed.agg(F.sum("count")).first()[0] or 0
+    members = stored(_spread_join(rows, mixed.select("key", "blocks"), "key", "id", mixed.select("key", "count"), total).drop("n"), "mixed")
     sets = _sets(docs, members.select("id").distinct(), id_col, text_col)
     full = stored(sets.join(reps.select("id", "registers"), "id"), "mixed-sets")
-    # A bucket of many blocks: each member goes to the tasks of its block with every block.
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("id", "component", "band", "key", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
     def link(table: pa.Table) -> pa.Table:
@@ -290,8 +308,8 @@ def _cross_links(docs: DataFrame, reps: DataFrame, comps: DataFrame, percent: in
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     links = stored(spread.join(full, "id").groupBy("key", "low", "high").applyInArrow(link, "a long, b long"), "cross")
-    dispose(members)
-    dispose(full)
+    for table in (mixed, members, full):
+        dispose(table)
     return links
 
 
@@ -338,18 +356,25 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of each row."""
-    sketches = stored(sketch_documents(docs, id_col, text_col), "sketches")
+    full = stored(sketch_documents(docs, id_col, text_col), "sketches")
+    sketches = stored(full.drop("registers"), "prints")
     usable = sketches.where("n > 0 and id is not null")
     classes = stored(usable.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     chosen = classes.select(F.col("rep").alias("id"), "f1", "f2")
-    reps = stored(usable.join(chosen, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "bands", "registers"), "reps")
-    links = _confirmed(docs, stored(_star_pairs(reps, percent), "pairs"), percent, id_col, text_col)
-    first = components(links)
-    links = links.unionByName(_cross_links(docs, reps, first, percent, id_col, text_col))
-    comps = components(links)
+    reps = stored(full.where("n > 0 and id is not null").join(chosen, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "registers"), "reps")
+    dispose(full)
+    pairs = _star_pairs(reps, percent)
+    near = _confirmed(docs, pairs, percent, id_col, text_col)
+    dispose(pairs)
+    first = components(near)
+    cross = _cross_links(docs, reps, first, percent, id_col, text_col)
+    dispose(reps)
+    dispose(first)
+    comps = components(near.unionByName(cross))
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")
-    dispose(reps)
+    for table in (near, cross, comps, classes):
+        dispose(table)
     # Fingerprints of at least a thousandth of the rows, a thousand at most, go to every task; the others are shuffled.
     total = sketches.count()
     hot = F.broadcast(named.where(F.col("size") * 1000 > total).select("f1", "f2", F.col("component").alias("hot")))
