@@ -2,14 +2,16 @@
 
 Build: each scan partition cuts its vectors into shards of bounded size, and
 each shard becomes a tree of median splits whose nodes keep a tight bounding
-box and their smallest id; trees are written to shared storage, one file each.
-Search: tasks stream blocks of queries past all shards, one tree in memory at
-a time.  In a tree, nodes are taken from a heap by their box's upper bound on
+box and their smallest id; trees are written to shared storage, one file each,
+and their root boxes (a row a shard) go to the searching tasks.
+Search: tasks stream blocks of queries past the shards, those of the highest
+root bounds first, one tree in memory at a time; a shard whose root box can
+improve no query of the block is not read.  In a tree, nodes are taken from a heap by their box's upper bound on
 the score; a node is skipped when its bound is under the kth score found so
 far, or equal to it with no smaller id.  The kth score is carried from node to
 node and from shard to shard.  There is no shuffle, and a row only for results.
 
-A component x becomes floor(256 x).  Defined cases: vectors that are null,
+A component x becomes floor(256 x), held at the largest double.  Defined cases: vectors that are null,
 empty, or hold null or non-finite components, and rows without an id take no
 part; only vectors of one length are compared; ties go to the smaller id;
 repeated rows count each, but no row of the query's own id; scores outside
@@ -135,7 +137,9 @@ def search(tree: Tree, queries: np.ndarray, own: list[int], best: list[Best]) ->
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, floor(256 x)) of the batch's vectors, by vector length."""
     vectors = batch.column(1)
-    flat = np.floor(256.0 * vectors.flatten().to_numpy(zero_copy_only=False).astype("f8"))
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    with np.errstate(over="ignore"):  # 256 x beyond the doubles is held at the largest
+        flat = np.clip(np.floor(256.0 * flat), -np.finfo("f8").max, np.finfo("f8").max)
     offsets = vectors.offsets.to_numpy()
     offsets, sizes, ids = offsets[:-1] - offsets[0], np.diff(offsets), batch.column(0).to_numpy()
     for d in np.unique(sizes):
@@ -149,8 +153,26 @@ def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & good).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("v"))
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF, uri: str | None = None) -> list[tuple[str, int]]:
-    """Write the trees; (file, vector length) of each shard comes back, a row for up to *shard_rows* vectors."""
+@dataclass(frozen=True)
+class Shard:
+    """A tree's file, its vectors' length, root box and smallest id."""
+
+    file: str
+    d: int
+    lo: np.ndarray
+    hi: np.ndarray
+    least: int
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds of each query's scores; infinite where doubles would not be exact."""
+        top = max(float(np.abs(self.lo).max()), float(np.abs(self.hi).max())), float(np.abs(queries).max(initial=0))
+        if not top[0] * top[1] * self.d < _EXACT:
+            return np.full(len(queries), np.inf)
+        return np.maximum(queries, 0) @ self.hi + np.minimum(queries, 0) @ self.lo
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF, uri: str | None = None) -> list[Shard]:
+    """Write the trees; what is known of each shard comes back, a row for up to *shard_rows* vectors."""
     uri = uri or scratch(vectors.sparkSession, "kd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +187,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             name = f"{uri}/tree-{part:06d}-{n:04d}.npz"
             write_atomic(name, [Tree.build(rows.astype(small) if small != "i2" else rows.astype("i4"), ids, leaf).dumps()])
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([d], pa.int32())], ["file", "d"])
+            box = [pa.array([x.astype("f8").tolist()], pa.list_(pa.float64())) for x in (rows.min(0), rows.max(0))]
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([d], pa.int32()), *box, pa.array([int(ids.min())], pa.int64())], ["file", "d", "lo", "hi", "least"])
 
         for batch in batches:
             for ids, rows in _by_length(batch):
@@ -181,19 +204,22 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             if held[d]:
                 yield write(d)
 
-    return [(r.file, r.d) for r in _usable(vectors, id_col, vector_col).mapInArrow(run, "file string, d int").collect()]
+    found = _usable(vectors, id_col, vector_col).mapInArrow(run, "file string, d int, lo array<double>, hi array<double>, least long")
+    return [Shard(r.file, r.d, np.array(r.lo), np.array(r.hi), r.least) for r in found.collect()]
 
 
-def top_k(queries: DataFrame, shards: list[tuple[str, int]], k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(queries: DataFrame, shards: list[Shard], k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best."""
 
     def answer(d: int, ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         best, own = [Best(k) for _ in ids], ids.tolist()
-        for file, length in shards:
-            if length == d:
-                filesystem, path = arrow_fs(file)
-                with filesystem.open_input_stream(path) as f:
-                    search(Tree.loads(f.read()), rows, own, best)
+        bounds = [(shard, shard.bounds(rows)) for shard in shards if shard.d == d]
+        for shard, bound in sorted(bounds, key=lambda x: -float(x[1].max())):
+            if all(b.hopeless(x, shard.least) for b, x in zip(best, bound.tolist())):
+                continue
+            filesystem, path = arrow_fs(shard.file)
+            with filesystem.open_input_stream(path) as f:
+                search(Tree.loads(f.read()), rows, own, best)
         hold = lambda s: max(-(2**63), min(2**63 - 1, int(s)))
         out = [(q, r + 1, i, hold(s)) for q, b in zip(own, best) for r, (s, i) in enumerate(zip(b.scores, b.ids))]
         if out:

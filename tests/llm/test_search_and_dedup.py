@@ -43,6 +43,24 @@ def test_huge_components_stay_exact():
     assert list(zip([-s for s in best.scores], best.ids)) == want
 
 
+def test_huge_components_through_spark(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1e308, 2.0]), (2, [-1e307, 1.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(df.where("vec_id < 1"), build_index(df), 5).collect()}
+    assert got == {(0, 1): (1, 2**63 - 1), (0, 2): (3, 2**63 - 1), (0, 3): (2, -(2**63))}
+
+
+def test_shards_that_cannot_help_are_not_read(spark):
+    near = [(i, [10.0 + i % 3, 1.0]) for i in range(40)]
+    far = [(100 + i, [-50.0, -1.0 - i]) for i in range(40)]
+    df = spark.createDataFrame(near + far, "vec_id long, embedding array<double>").coalesce(1)
+    shards = build_index(df, shard_rows=40)
+    assert len(shards) == 2
+    only = [s if s.least == 0 else type(s)("/no/such/file", s.d, s.lo, s.hi, s.least) for s in shards]
+    queries = df.where("vec_id = 0")
+    assert top_k(queries, only, 5).collect() == top_k(queries, shards, 5).collect()
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(none, build_index(none)).count() == 0
@@ -113,6 +131,8 @@ def test_blocks_of_a_large_bucket_lose_nothing(spark, monkeypatch):
     from kinetrail.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(near_dedup, "HOT_PAIRS", 4)
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 3)
     draw = random.Random(5)
     base = words(draw, 90)
