@@ -130,6 +130,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a table's size; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def within_budget(rows, size, chars: int):
     """Rows in the order they come while they fit what is left of *chars*; one that does not fit is passed over."""
     left = chars

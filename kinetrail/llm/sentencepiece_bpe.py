@@ -7,7 +7,10 @@ ranked is one id (as rank encoders have it); any other goes through
 sentencepiece.  Decoding maps ids to pieces and pieces back to bytes.
 
 Defined cases: null text is empty and gives no ids; empty ids decode to
-nothing; unknown ids raise; other columns are ignored.
+nothing; unknown ids raise; rows that repeat an id or a text give a row each;
+nothing is ordered, so there are no ties; very long texts are encoded whole, in
+slices of bounded bytes (a text of its own if longer); an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .encoding import PreTokenEncoder, as_symbols, byte_alphabet
 
-_SLICE = 512
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2
 
 
@@ -108,8 +111,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False, id_c
         tokenizer = rank_tokenizer(ranks_path)
         decimals: dict[int, str] = {r: str(r) for r in tokenizer.pieces}
         for whole in batches:
-            for i in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(i, _SLICE)
+            for batch in sliced(whole, 1):
                 ids = [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode([t or "" for t in batch.column(1).to_pylist()])]
                 decoded = list(map(tokenizer.decode, ids))
                 cols = [

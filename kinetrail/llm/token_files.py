@@ -8,22 +8,23 @@ alone, so texts are read once), and writes each shard sorted as two files:
 * ``shard-N.idx``: a 32-byte header, ``n + 1`` uint64 offsets into the shard,
   ``n`` int64 document ids, ``n`` bytes that flag null ids.
 
-A document's place in the whole output is its shard's base plus its offset;
+There are as many shards as shuffle partitions, and more where a shard would
+have over ``SHARD_BYTES`` of input.  A document's place in the whole output is its shard's base plus its offset;
 the bases are the prefix sum of the shards' lengths, one number a shard.
 Shards are written under temporary names and moved into place, so a repeated
 or lost task leaves the same files.
 
 Defined cases: null text counts as empty and gives the end id alone; null ids
 come first; rows that repeat an id lie in one shard, ordered by their ids'
-bytes; an empty table gives no shards and no rows; other columns are ignored.
+bytes; an empty table gives no shards and no rows; very long texts are encoded
+whole, in slices of bounded bytes (a text of its own if longer); other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import gc
-import os
 import struct
-import tempfile
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, arrow_fs, scratch, shuffle_partitions, write_atomic
+from .common import AtomicFile, arrow_fs, input_bytes, scratch, shuffle_partitions, sliced, write_atomic
 from .encoding import library_encoder, vocabulary_size
 
 _HEADER = "<8sIIQQ"
 _MAGIC = b"KTOKENS1"
-_SLICE = 512
+_RUN_IDS = np.uint64(4 << 20)
+#: Bytes of input that a shard should have at most.
+SHARD_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -63,8 +66,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, bounds: list[int], end_id:
         end = np.array([end_id], kind).tobytes()
         cuts = np.array(bounds, "i8")
         for whole in batches:
-            for i in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(i, _SLICE)
+            for batch in sliced(whole, 1):
                 ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
                 key = batch.column(0)
                 shard = np.searchsorted(cuts, key.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left").astype("i4")
@@ -77,7 +79,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, bounds: list[int], end_id:
 def write_token_files(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 0, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     spark = docs.sparkSession
     uri = uri or scratch(spark, "tokens")
-    shards = shards or shuffle_partitions(spark)
+    shards = shards or max(shuffle_partitions(spark), -(-input_bytes(docs) // SHARD_BYTES))
     quantiles = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 20 * shards).alias("q")).first()
     bounds = sorted(set(quantiles.q or [])) if shards > 1 else []
     wide = vocabulary_size(tokenizer) > 1 << 16 or end_id >= 1 << 16
@@ -127,13 +129,18 @@ class ShardWriter:
 
 
 class Shard:
-    """A shard's memory-mapped ids and offsets; a shard on a remote store is fetched to a local file first."""
+    """A shard's ids and offsets: memory-mapped where the store is a local or mounted one, else read in ranges."""
 
     def __init__(self, uri: str, shard: int):
-        self._temp: list[str] = []
-        index, data = (self._local(f"{uri}/shard-{shard:06d}.{x}") for x in ("idx", "bin"))
-        raw = np.memmap(index, "u1", "r")
-        magic, width, _, n, total = struct.unpack_from(_HEADER, raw[:32].tobytes())
+        self._filesystem, path = arrow_fs(f"{uri}/shard-{shard:06d}")
+        self._data = f"{path}.bin"
+        self.mapped = self._filesystem.type_name == "local"
+        if self.mapped:
+            raw = np.memmap(f"{path}.idx", "u1", "r")
+        else:
+            with self._filesystem.open_input_stream(f"{path}.idx") as f:
+                raw = np.frombuffer(f.read(), "u1")
+        magic, self.width, _, n, self.total = struct.unpack_from(_HEADER, raw[:32].tobytes())
         if magic != _MAGIC:
             raise ValueError(f"not a token index: {uri}, shard {shard}")
         at = struct.calcsize(_HEADER)
@@ -141,25 +148,17 @@ class Shard:
         at += 8 * (n + 1)
         self.doc_ids = raw[at : at + 8 * n].view("<i8")
         self.null_ids = raw[at + 8 * n : at + 9 * n].view("?")
-        self.ids = np.memmap(data, f"<u{width}", "r") if total else np.empty(0, f"<u{width}")
+        self.ids = np.memmap(self._data, f"<u{self.width}", "r") if self.mapped and self.total else np.empty(0, f"<u{self.width}")
 
-    def _local(self, uri: str) -> str:
-        filesystem, path = arrow_fs(uri)
-        if filesystem.type_name == "local":
-            return path
-        handle, local = tempfile.mkstemp()
-        self._temp.append(local)
-        with filesystem.open_input_stream(path) as source, os.fdopen(handle, "wb") as out:
-            while chunk := source.read(1 << 22):
-                out.write(chunk)
-        return local
-
-    def document(self, i: int) -> np.ndarray:
-        return self.ids[int(self.offsets[i]) : int(self.offsets[i + 1])]
-
-    def close(self) -> None:
-        for path in self._temp:
-            os.unlink(path)
+    def documents(self, a: int, b: int) -> list[np.ndarray]:
+        """The ids of documents a to b."""
+        bounds = self.offsets[a : b + 1].astype("i8")
+        if self.mapped:
+            ids = self.ids[bounds[0] : bounds[-1]]
+        else:
+            with self._filesystem.open_input_file(self._data) as f:
+                ids = np.frombuffer(f.read_at(int(bounds[-1] - bounds[0]) * self.width, int(bounds[0]) * self.width), f"<u{self.width}")
+        return [ids[x:y] for x, y in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0])]
 
 
 def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = False) -> DataFrame:
@@ -174,19 +173,20 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
                     continue
                 shard = Shard(uri, k)
                 n = len(shard.doc_ids)
-                for i in range(0, n, 4096):
-                    part = range(i, min(n, i + 4096))
-                    offsets = shard.offsets[i : part[-1] + 2].astype("i8")
+                i = 0
+                while i < n:  # runs of documents of bounded size
+                    j = min(n, i + 4096, max(i + 1, int(np.searchsorted(shard.offsets, shard.offsets[i] + _RUN_IDS, "right")) - 1))
+                    found, offsets = shard.documents(i, j), shard.offsets[i : j + 1].astype("i8")
                     cols = [
-                        pa.array(shard.doc_ids[i : part[-1] + 1].copy(), mask=shard.null_ids[i : part[-1] + 1].copy()),
+                        pa.array(shard.doc_ids[i:j].copy(), mask=shard.null_ids[i:j].copy()),
                         pa.array(offsets[:-1] + bases[k]),
                         pa.array(np.diff(offsets)),
-                        pa.array([zlib.crc32(shard.document(j).astype("<u4")) for j in part], pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4")) for x in found], pa.int64()),
                     ]
                     if with_ids:
-                        cols.append(pa.array([shard.document(j).astype("i4") for j in part], pa.list_(pa.int32())))
+                        cols.append(pa.array([x.astype("i4") for x in found], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
-                shard.close()
+                    i = j
 
     n = len(files.lengths)
     return spark.range(0, n, 1, max(1, n)).mapInArrow(run, schema)

@@ -74,6 +74,27 @@ def test_files_are_flat_and_mapped(spark, library):
     assert shard.offsets.tolist() == [0, len(library("one two")) + 1, len(shard.ids)]
 
 
+def test_shards_on_other_stores_are_read_in_ranges(spark, library, monkeypatch):
+    files = write_token_files(documents(spark, ["one two", "three", None]), JSON, shards=1)
+    import kinetrail.llm.token_files as tf
+    from pyarrow import fs
+
+    monkeypatch.setattr(tf, "arrow_fs", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), uri.removeprefix("file://")))
+    shard = Shard(files.uri, 0)
+    assert not shard.mapped and [x.tolist() for x in shard.documents(0, 3)] == [[*library(t), 0] for t in ("one two", "three", "")]
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from kinetrail.llm.common import sliced
+
+    texts = ["a" * 10, None, "b" * 100, "c" * 5, "d" * 5, "", "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    runs = [b.column(1).to_pylist() for b in sliced(batch.slice(1), 1, 20, 3)]
+    assert runs == [[None], ["b" * 100], ["c" * 5, "d" * 5, ""], ["e"]] and list(sliced(batch.slice(7), 1)) == []
+
+
 def test_empty_tables(spark):
     none = documents(spark, ["x"]).where("false")
     assert read_token_files(spark, write_token_files(none, JSON)).count() == 0
