@@ -167,7 +167,7 @@ def near_pairs(a: DataFrame, b: DataFrame, cell: Cell, cutoff: float, on: list[s
     """
     on = on or []
     heights = 1 / np.linalg.norm(cell.inverse, axis=0)
-    bins = [int(h // cutoff) if h // cutoff >= 3 else 1 for h in heights]
+    bins = [int(h // cutoff) if cutoff > 0 and h // cutoff >= 3 else 1 for h in heights]
 
     def binned(df: DataFrame, tag: str) -> DataFrame:
         f = cell.fractional(cell.wrap(point("x", "y", "z")))

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientSitesError, MergedSitesTooDistantError, MergeSitesError
-from ..functions.geometry import Cell, pairwise_distances, periodic_mean, point
+from ..functions.geometry import Cell, near_pairs, periodic_mean, point
 from ..plans.session import checkpointed
-from .graph import dense_matrix, markov_clusters, strong_components, weak_components
+from .graph import markov_clusters, strong_components, weak_components
 from .jump_statistics import analyse_jumps
 from .trajectory import SiteTrajectory, occupancies, translate
 
@@ -96,9 +96,13 @@ class MergeSites:
 
 
 def distance_filtered(edges: DataFrame, sites: DataFrame, cell: Cell, most: float) -> DataFrame:
-    """Without edges between sites farther apart than *most*."""
-    near = pairwise_distances(_centers(sites), cell).where(F.col("distance") <= most)
-    return edges.join(near.select(F.col("i").alias("src"), F.col("j").alias("dst")), ["src", "dst"], "left_semi")
+    """Without edges between sites farther apart than *most*: a grid join gives the near pairs."""
+    at = _centers(sites)
+    near = near_pairs(at.withColumnRenamed("id", "id_a"), at.withColumnRenamed("id", "id_b"), cell, most).where("id_a < id_b")
+    both = near.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).unionByName(near.select(F.col("id_b").alias("src"), F.col("id_a").alias("dst")))
+    if most >= 0:
+        both = both.unionByName(at.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    return edges.join(both, ["src", "dst"], "left_semi")
 
 
 def co_occupied(assign: DataFrame) -> DataFrame:
@@ -144,12 +148,14 @@ def connectivity_jump_lag_biased(jump_lag_coeff: float = 1.0, jump_lag_sigma: fl
     """p_ij plus a Gaussian of the lag, times one plus a Gaussian of the distance (with their coefficients)."""
 
     def connectivity(network) -> DataFrame:
-        near = pairwise_distances(_centers(network.sites), network.cell).select(F.col("i").alias("src"), F.col("j").alias("dst"), "distance")
+        at = lambda k: network.sites.select(F.col("site_id").alias(k), *(F.col(f"c{c}").alias(f"{k}{c}") for c in "xyz"))
+        placed = network.edges.join(at("src"), "src").join(at("dst"), "dst")
+        a, b = point("srcx", "srcy", "srcz"), point("dstx", "dsty", "dstz")
+        apart = F.when(F.col("src") < F.col("dst"), network.cell.distance(a, b)).when(F.col("src") > F.col("dst"), network.cell.distance(b, a)).otherwise(0.0)
         lag = F.col("jump_lag")
         boost = F.when(lag.isNotNull() & (lag <= jump_lag_cutoff) & (lag < float("inf")), F.exp(-0.5 * F.pow((lag - 1) / jump_lag_sigma, 2))).otherwise(0.0)
         closeness = distance_coeff * F.exp(-0.5 * F.pow(F.col("distance") / distance_sigma, 2)) + (1 - distance_coeff)
-        joined = network.edges.join(F.broadcast(near), ["src", "dst"])
-        return joined.select("src", "dst", ((F.coalesce("p_ij", F.lit(0.0)) + jump_lag_coeff * boost) * closeness).alias("connectivity"))
+        return placed.withColumn("distance", apart).select("src", "dst", ((F.coalesce("p_ij", F.lit(0.0)) + jump_lag_coeff * boost) * closeness).alias("connectivity"))
 
     return connectivity
 
@@ -171,8 +177,7 @@ class MergeSitesByDynamics(MergeSites):
         if not st.network.has_attribute("n_ij"):
             st = analyse_jumps(st)
         kept = distance_filtered(self.connectivity(st.network), st.network.sites, st.network.cell, self.distance_threshold)
-        clusters = markov_clusters(dense_matrix(kept, "connectivity", st.network.n_sites), **self.markov)
-        return st.assign.sparkSession.createDataFrame([(int(s), k) for k, c in enumerate(clusters) for s in c], "site_id int, group int")
+        return markov_clusters(kept, st.network.sites, "connectivity", **self.markov).withColumnRenamed("cluster", "group")
 
 
 def alarming_edges(edges: DataFrame, value: str, n_sites: int) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.errors import InsufficientSitesError, MergedSitesTooDistantError, MergeSitesError, MultipleOccupancyError, ZeroLandmarkError
-from kinetrail.operators import clustering, descriptors, graph, landmarks, merging, pathways, positions
+from kinetrail.operators import clustering, descriptors, graph, landmarks, merging, pathways, positions, series
 from kinetrail.operators.jump_statistics import analyse_jumps
 from kinetrail.operators.trajectory import SiteTrajectory, from_matrix
 from kinetrail.sources.archive import read_archive, write_archive
@@ -129,10 +129,68 @@ def test_components_and_markov_clusters(spark):
     assert weak == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
     strong = {r.site_id: r.component for r in graph.strong_components(edges, nodes).collect()}
     assert strong == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
-    blocks = np.kron(np.eye(2), np.ones((2, 2)))
-    assert graph.markov_clusters(blocks) == [(0, 1), (2, 3)]
+
+
+def flow_clusters(m, expansion, inflation):
+    """Markov clusters of a dense matrix, column after column."""
+    n = len(m)
+    flow = [{i: m[i, j] / m[:, j].sum() for i in range(n) if m[i, j]} for j in range(n)]
+    while True:
+        grown = flow
+        for _ in range(expansion - 1):
+            grown = [{i: sum(w * flow[k].get(i, 0.0) for k, w in column.items()) for i in {i for k in column for i in flow[k]}} for column in grown]
+        then = []
+        for column in grown:
+            total = sum(v**inflation for v in column.values())
+            share = {i: v**inflation / total for i, v in column.items()}
+            top = min(share, key=lambda i: (-share[i], i))
+            then.append({i: v for i, v in share.items() if v >= 1e-5 or i == top})
+        if all(a.keys() == b.keys() and all(abs(a[i] - b[i]) <= 1e-8 + 1e-5 * b[i] for i in a) for a, b in zip(then, flow)):
+            return sorted({tuple(j for j in range(n) if i in then[j]) for i in range(n) if i in then[i]})
+        flow = then
+
+
+@pytest.mark.parametrize("n, expansion, inflation", [(4, 2, 2), (9, 2, 4), (9, 3, 1.6)])
+def test_markov_clusters_equal_a_loop(spark, n, expansion, inflation):
+    draw = np.random.default_rng(n + expansion)
+    m = np.kron(np.eye(2), np.ones((2, 2))) if n == 4 else np.triu(draw.uniform(0, 1, (n, n)) * (draw.uniform(0, 1, (n, n)) < 0.35), 1)
+    m = m + m.T * (n > 4) + np.eye(n)
+    edges = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]], "src int, dst int, w double")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "site_id int")
+    found = {}
+    for r in graph.markov_clusters(edges, nodes, "w", expansion=expansion, inflation=inflation).collect():
+        found.setdefault(r.cluster, []).append(r.site_id)
+    assert [tuple(sorted(found[k])) for k in range(len(found))] == flow_clusters(m, expansion, inflation)
     with pytest.raises(ValueError):
-        graph.markov_clusters(np.array([[0.0, 1], [1, 1]]))
+        graph.markov_clusters(edges.where("src <> 1 or dst <> 1"), nodes, "w")
+
+
+def test_leaders_of_chunks_and_blocks_of_centers(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    tops = np.eye(6)
+    rows = [(i * 3, (tops[i % 6] + draw.normal(0, 0.05, 6)).tolist()) for i in range(90)] + [(1, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+    whole, n = clustering.leader_clusters(np.array([v for i, v in sorted(rows) if i != 1]), 0.8)
+    one = clustering.fit_centers(df, 0.8).orderBy("center").collect()
+    assert np.allclose([r.v for r in one], whole) and [r.n for r in one] == n.tolist()
+    assert [r.v for r in clustering.fit_centers(df, 0.8, exact=True, chunk=5).orderBy("center").collect()] == [r.v for r in one]
+    monkeypatch.setattr(clustering, "FAN", 3)
+    for parts in (2, 7):
+        many = clustering.fit_centers(df.repartition(parts), 0.8, chunk=20).orderBy("center").collect()
+        assert len(many) == 6 and sum(r.n for r in many) == 90
+        assert all((np.array(r.v) @ np.array(o.v)) / np.linalg.norm(r.v) / np.linalg.norm(o.v) > 0.99 for r, o in zip(many, one))
+    centers = spark.createDataFrame([(r.center, r.v) for r in one], "center int, v array<double>")
+    want = {tuple(r) for r in clustering.predict(df, centers, 0.5).collect()}
+    monkeypatch.setattr(clustering, "BROADCAST_VALUES", 13)
+    assert {tuple(r) for r in clustering.predict(df, centers, 0.5).collect()} == want and len(want) == 91
+
+
+def test_ranks_within_sites(spark):
+    rows = [(f, m, (f * m) % 3) for f in range(12) for m in range(7)]
+    got = {(r.frame, r.mobile): r.i for r in series.site_ranks(spark.createDataFrame(rows, "frame long, mobile long, site int"), "i").collect()}
+    for site in range(3):
+        for i, (f, m, _) in enumerate(sorted(x for x in rows if x[2] == site)):
+            assert got[f, m] == i
 
 
 def test_long_chains_are_one_component(spark):
