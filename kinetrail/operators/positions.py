@@ -13,8 +13,12 @@ from ..errors import InsufficientCoordinatingAtomsError
 from ..functions.geometry import Cell, nearest_image, periodic_mean, point, staged
 from ..functions.hulls import convex_hull, voronoi_nodes
 from .network import SiteNetwork
+from .series import site_ranks
 from .trajectory import SiteTrajectory
 
+#: Positions of a site that one task reduces to those on their hull.
+SHARE = 20_000
+
 
 def clamped(positions: DataFrame, sites: DataFrame, cell: Cell, wrap: bool = False, pass_through: bool = True) -> DataFrame:
     """(frame, mobile, x, y, z): each particle at its site's center.
@@ -64,8 +68,8 @@ def averages_per_site(positions: DataFrame, sites: DataFrame, cell: Cell, n: int
     if n % 2:
         raise ValueError("n must be even")
     seen = positions.where("site >= 0")
-    order = Window.partitionBy("site").orderBy("frame", "mobile")
-    ranked = seen.withColumns({"__i": F.row_number().over(order) - 1, "__n": F.count("*").over(Window.partitionBy("site"))})
+    sizes = seen.groupBy("site").agg(F.count("*").alias("__n"))
+    ranked = site_ranks(seen, "__i").join(F.broadcast(sizes), "site")  # a row a site
     if error_on_insufficient:
         short = sites.join(seen.groupBy("site").count(), sites.site_id == F.col("site"), "left").where(F.coalesce("count", F.lit(0)) <= n).select("site_id").limit(1).collect()
         if short:
@@ -91,19 +95,19 @@ def accessible_volumes(positions: DataFrame, cell: Cell, n_recenterings: int = 8
     site's positions are never gathered whole.
     """
     pivots = positions.where("site >= 0").groupBy("site").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("site").orderBy("frame", "mobile")
-    ranked = positions.where("site >= 0").join(F.broadcast(pivots), "site").withColumn("__i", F.row_number().over(order) - 1)
+    ranked = site_ranks(positions.where("site >= 0"), "__i").join(F.broadcast(pivots), "site")
     marks = F.array(*(F.floor(F.lit(k) * F.col("n") / n_recenterings) for k in range(n_recenterings)))
     chosen = ranked.where(F.array_contains(marks, F.col("__i"))).select("site", F.explode(F.filter(F.transform(marks, lambda m: F.struct(m.alias("m"), F.col("__i").alias("i"))), lambda t: t["m"] == t["i"])).alias("t"), F.struct("x", "y", "z").alias("pivot"))
     centers = chosen.groupBy("site").agg(F.array_distinct(F.collect_list("pivot")).alias("pivots"))  # n_recenterings at most
-    spread = positions.where("site >= 0").join(F.broadcast(centers), "site").select("site", "x", "y", "z", F.posexplode("pivots").alias("k", "pivot"))
-    moved = spread.select("site", "k", *(c.alias(n) for c, n in zip(cell.recentred(point("x", "y", "z"), tuple(F.col("pivot")[a] for a in "xyz")), "xyz")))
+    parts = pivots.select("site", F.ceil(F.col("n") / SHARE).cast("int").alias("parts"))
+    spread = positions.where("site >= 0").join(F.broadcast(centers.join(parts, "site")), "site").select("site", "parts", "x", "y", "z", F.posexplode("pivots").alias("k", "pivot"))
+    moved = spread.select("site", "k", "parts", *(c.alias(n) for c, n in zip(cell.recentred(point("x", "y", "z"), tuple(F.col("pivot")[a] for a in "xyz")), "xyz")))
 
     def extremes(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[np.sort(hull_vertices(pdf[["x", "y", "z"]].to_numpy()))]
 
-    salted = moved.withColumn("__salt", F.pmod(F.xxhash64("x", "y", "z"), F.lit(16)))
-    kept = salted.groupBy("site", "k", "__salt").applyInPandas(lambda pdf: extremes(pdf)[["site", "k", "x", "y", "z"]], moved.schema)
+    salted = moved.withColumn("__salt", F.pmod(F.xxhash64("x", "y", "z"), F.col("parts"))).drop("parts")
+    kept = salted.groupBy("site", "k", "__salt").applyInPandas(lambda pdf: extremes(pdf)[["site", "k", "x", "y", "z"]], salted.drop("__salt").schema)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         volume, area = convex_hull(pdf[["x", "y", "z"]].to_numpy())
@@ -168,21 +172,25 @@ def vibrational_frequencies(frames: DataFrame, min_frequency: float = 0.0, max_f
     """(atom_id, frequency): the mean frequency of an atom's speed, weighted by spectral power within the open band.
 
     Speeds are lengths of steps between frames, not periodic.  One atom's
-    series has to fit a task.
+    series is a row; rows go through Python in Arrow batches of many atoms.
     """
     order = Window.partitionBy("atom_id").orderBy("frame")
     step = [F.lead(c).over(order) - F.col(c) for c in "xyz"]
     speeds = frames.select("atom_id", "frame", F.sqrt(sum((s * s for s in step[1:]), step[0] * step[0])).alias("speed")).where("speed is not null")
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("frame")["speed"].to_numpy()
-        power = np.abs(np.fft.rfft(v)) ** 2
-        f = np.fft.rfftfreq(len(v), timestep)
-        band = (f > min_frequency) & (f < max_frequency)
-        total = power[band].sum()
-        return pd.DataFrame({"atom_id": [pdf["atom_id"].iloc[0]], "frequency": [(f[band] * power[band]).sum() / total if total > 0 else None]})
-
-    return speeds.groupBy("atom_id").applyInPandas(spectrum, "atom_id long, frequency double")
+    series = speeds.groupBy("atom_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "speed"))), lambda s: s["speed"]).alias("speeds"))
+
+    @F.pandas_udf("double")
+    def spectrum(rows: pd.Series) -> pd.Series:
+        out = []
+        for v in rows:
+            power = np.abs(np.fft.rfft(v)) ** 2
+            f = np.fft.rfftfreq(len(v), timestep)
+            band = (f > min_frequency) & (f < max_frequency)
+            total = power[band].sum()
+            out.append((f[band] * power[band]).sum() / total if total > 0 else None)
+        return pd.Series(out, dtype="float64")
+
+    return series.select("atom_id", spectrum("speeds").alias("frequency"))
 
 
 def average_vibrational_frequency(frames: DataFrame, **options) -> DataFrame:

@@ -170,12 +170,31 @@ def rolling_mode(assign: DataFrame, threshold: int, window_factor: float = 2.1,
 
     w = window_factor * threshold
     around = by_particle().rowsBetween(-math.floor(w / 2), math.ceil(w / 2) - 1)
-    held = F.collect_list("site").over(around)
-    best = F.array_max(F.transform(F.array_distinct("__held"), lambda x: F.struct(F.size(F.filter("__held", lambda y: y == x)).alias("n"), (-x).alias("neg"))))
+    # The window's sites in order, runs of equal ones counted in one pass; of equally long runs the first, that is the lowest, stays.
+    start = F.struct(F.lit(None).cast("int").alias("site"), F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(UNKNOWN).alias("best"))
+
+    def count(held: Column, site: Column) -> Column:
+        run = F.when(held["site"] == site, held["run"] + 1).otherwise(1)
+        longer = run > held["n"]
+        return F.struct(site.cast("int").alias("site"), run.alias("run"), F.when(longer, run).otherwise(held["n"]).alias("n"), F.when(longer, site.cast("int")).otherwise(held["best"]).alias("best"))
+
     rest = F.lit(UNKNOWN) if set_unassigned else F.col("site")
-    scored = assign.withColumn("__held", held).withColumn("__best", best)
-    smooth = F.when(F.col("__best")["n"] >= threshold, -F.col("__best")["neg"]).otherwise(rest)
-    return scored.withColumn("site", smooth.cast("int")).drop("__held", "__best", "confidence")
+    scored = assign.withColumn("__held", F.collect_list("site").over(around)).withColumn("__won", F.aggregate(F.array_sort("__held"), start, count))
+    smooth = F.when(F.col("__won")["n"] >= threshold, F.col("__won")["best"]).otherwise(rest)
+    return scored.withColumn("site", smooth.cast("int")).drop("__held", "__won", "confidence")
+
+
+def site_ranks(rows: DataFrame, name: str, site: str = "site") -> DataFrame:
+    """Adds *name*, each row's place from 0 among its site's in the order of frame and particle.
+
+    Places are a prefix sum of the site's counts by frame plus the place within
+    the frame, so that a site's rows are never sorted in one task.
+    """
+    per = rows.groupBy(site, "frame").agg(F.count("*").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy(site).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = per.select(site, "frame", ahead.alias("__base"))
+    local = F.row_number().over(Window.partitionBy(site, "frame").orderBy("mobile")) - 1
+    return rows.withColumn("__local", local).join(base, [site, "frame"]).withColumn(name, F.col("__base") + F.col("__local")).drop("__base", "__local")
 
 
 def runs(assign: DataFrame) -> DataFrame:

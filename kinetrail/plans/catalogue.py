@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,7 +223,7 @@ def lag_plot_data(spark, sf_dir):
 # ---- selection
 
 
-@query(f"with {fx.GRAPH}, u as (select * from g where mobile % 5 < 3), m as (select site as site_id, row_number() over (order by site) - 1 as new_id from (select distinct site from u where site >= 0)) select frame, mobile, cast(coalesce(new_id, -1) as integer) as site from u left join m on m.site_id = u.site")
+@query(f"with {fx.GRAPH}, u as (select * from g), m as (select site as site_id, row_number() over (order by site) - 1 as new_id from (select distinct site from u where site >= 0)) select frame, mobile, cast(coalesce(new_id, -1) as integer) as site from u left join m on m.site_id = u.site")
 def remove_unoccupied(spark, sf_dir):
     u = fx.graph_daily(spark, sf_dir)  # visits 25 of the 30 sites
     return trajectory.translate(u, trajectory.unoccupied_translation(u, fx.sites(spark, 30))).select("frame", "mobile", "site")
@@ -448,7 +447,7 @@ def cosine_assign_min_samples(spark, sf_dir):
     return clustering.large_clusters(labels, 12)
 
 
-_SPARSE = "sp as (select vec_id, label, pos, cast(embedding[pos + 1] as double) as v from embeddings, (select unnest(range(16)) as pos))"
+_SPARSE = "sp as (select vec_id, label, pos, cast(embedding[pos + 1] as double) as v from embeddings, (select unnest(range(64)) as pos))"
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
@@ -469,13 +468,13 @@ def representative_vectors(spark, sf_dir):
 
 @query()
 def leader_clusters(spark, sf_dir):
-    found = clustering.fit_centers(fx.vectors(spark, sf_dir), 0.3)
+    found = clustering.fit_centers(fx.vectors(spark, sf_dir), 0.3)  # one chunk up to 50,000 vectors
     return found.select("center", "n", _r(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
 
 
 @query()
 def leader_clusters_two_level(spark, sf_dir):
-    found = clustering.fit_centers(fx.vectors(spark, sf_dir), 0.3, exact=False)
+    found = clustering.fit_centers(fx.vectors(spark, sf_dir), 0.3, chunk=64)
     return found.select("center", "n")
 
 
@@ -588,8 +587,10 @@ def merge_by_barrier(spark, sf_dir):
 
 @query()
 def mcl_clusters(spark, sf_dir):
-    clusters = graph.markov_clusters(graph.dense_matrix(_threshold(spark, sf_dir), "n_ij", 25) + np.eye(25))
-    return spark.createDataFrame([(k, int(s)) for k, c in enumerate(clusters) for s in c], "cluster int, site_id int")
+    sites = fx.sites(spark, 25)
+    loops = sites.select(F.col("site_id").alias("src"), F.col("site_id").alias("dst"), F.lit(1.0).alias("n_ij"))
+    edges = _threshold(spark, sf_dir).unionByName(loops).groupBy("src", "dst").agg(F.sum("n_ij").alias("n_ij"))
+    return graph.markov_clusters(edges, sites, "n_ij")
 
 
 @query()
@@ -628,7 +629,7 @@ def _landmark_sql(mid: float = 2.5, steep: float = 5.0) -> str:
     r = fx.sql_distance(("po.x", "po.y", "po.z"), ("v.x", "v.y", "v.z"))
     cut = landmarks.cutoff_point(mid, steep)
     return f"""with {fx.POSITIONS}, {fx.POINTS}, {fx.CENTERS}, v as (select * from (select ct.id as landmark, pt.id as vertex, pt.x, pt.y, pt.z, {ref} as d0, row_number() over (partition by ct.id order by round({ref}, 9), pt.id) as k from pt cross join ct) where k <= 4),
-q as (select frame, mobile, landmark, {r} / d0 as r from po cross join v where frame < 5),
+q as (select frame, mobile, landmark, {r} / d0 as r from po cross join v),
 lv as (select frame, mobile, landmark, exp(avg(-ln(1 + exp({steep}e0 * (r - {mid}e0))))) as value from q where r <= {cut!r}e0 group by all having count(*) = 4)"""
 
 
@@ -644,14 +645,14 @@ def landmark_vectors(spark, sf_dir):
     return _landmark_vectors(spark, sf_dir)[1].withColumn("value", _r("value"))
 
 
-@query(_landmark_sql(1.5, 30.0) + " select po.frame, po.mobile from po left join (select distinct frame, mobile from lv) l on l.frame = po.frame and l.mobile = po.mobile where po.frame < 5 and l.frame is null")
+@query(_landmark_sql(1.5, 30.0) + " select po.frame, po.mobile from po left join (select distinct frame, mobile from lv) l on l.frame = po.frame and l.mobile = po.mobile where l.frame is null")
 def landmark_zero_check(spark, sf_dir):
     return landmarks.zero_vectors(*_landmark_vectors(spark, sf_dir, 1.5, 30.0))
 
 
 def _lattice_sql() -> str:
     d = fx.sql_distance(("ct.x", "ct.y", "ct.z"), ("m.x", "m.y", "m.z"))
-    return f"""with {fx.POSITIONS}, {fx.CENTERS}, m as (select frame, mobile as atom, x, y, z from po where mobile <= 25), x as (select frame, ct.id as lattice_point, atom, round({d}, 9) as d from m cross join ct),
+    return f"""with {fx.POSITIONS}, {fx.CENTERS}, m as (select frame, mobile as atom, x, y, z from po), x as (select frame, ct.id as lattice_point, atom, round({d}, 9) as d from m cross join ct),
 n as (select frame, lattice_point, arg_min(atom, (d, atom)) as atom, min(d) as d from x group by all)
 select frame, count(*) filter (d > 2e0) as too_far, count(*) - count(distinct atom) as repeated from n group by frame"""
 
