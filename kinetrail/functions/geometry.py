@@ -124,7 +124,7 @@ def nearest_image(df: DataFrame, cell: Cell, reference: Point, p: Point, name: s
 
     |d + s|^2 = |d|^2 + 2 d.s + |s|^2, so that the 27 shifts s are compared by
     sums of three products and a constant; generated code stays small enough
-    to be compiled.
+    to be compiled.  Squares that agree to eight decimals count as equal.
     """
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
     out = staged(staged(df, __p=p, __q=reference), __d=minus(p, reference))
@@ -135,7 +135,7 @@ def nearest_image(df: DataFrame, cell: Cell, reference: Point, p: Point, name: s
         total = F.lit(float(((np.array(s) @ cell.matrix) ** 2).sum()))
         for n, a in zip(s, along):
             total = total + a if n > 0 else total - a if n < 0 else total
-        gains.append(F.struct(total.alias("gain"), F.lit(100 * (s[0] + 1) + 10 * (s[1] + 1) + s[2] + 1).alias("code")))
+        gains.append(F.struct(F.floor(total * 1e8 + 0.5).alias("gain"), F.lit(100 * (s[0] + 1) + 10 * (s[1] + 1) + s[2] + 1).alias("code")))
     out = out.withColumn(f"{name}_code", F.array_min(F.array(*gains))["code"])
     code = F.col(f"{name}_code")
     out = out.withColumns({f"__{k}": (v % 10 - 1).cast("double") for k, v in (("i", F.floor(code / 100)), ("j", F.floor(code / 10)), ("k", code))})

@@ -378,7 +378,12 @@ def nearest_site(spark, sf_dir):
 @query(f"with {fx.POSITIONS} select frame, mobile, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from po where site = 2")
 def site_positions(spark, sf_dir):
     at = fx.positions(spark, sf_dir)
-    joined = at.select("frame", "mobile", "site").where("site = 2").join(at.select("frame", "mobile", "x", "y", "z"), ["frame", "mobile"])
+    atoms = at.select(F.col("mobile").alias("atom_id"), F.lit(3).alias("atomic_number"), *(F.lit(0.0).alias(c) for c in "xyz"), F.lit(False).alias("is_static"), F.lit(True).alias("is_mobile")).distinct()
+    numbered = index_atoms(atoms)
+    names = numbered.select(F.col("atom_id").alias("mobile"), "mobile_idx")
+    assign = at.join(names, "mobile").select("frame", F.col("mobile_idx").cast("long").alias("mobile"), "site")
+    st = trajectory.SiteTrajectory(SiteNetwork(numbered, CELL), assign, at.withColumnRenamed("mobile", "atom_id"))
+    joined = st.positions_for_site(2).select("frame", F.col("atom_id").alias("mobile"), "x", "y", "z")
     return joined.select("frame", "mobile", *(_r(c).alias(c) for c in "xyz"))
 
 
@@ -387,7 +392,18 @@ def clamped_positions(spark, sf_dir):
     return positions.clamped(fx.positions(spark, sf_dir), _nation_sites(spark, sf_dir), CELL, wrap=True).select("frame", "mobile", *(_r(c).alias(c) for c in "xyz"))
 
 
-@query()
+def _clamped_sql() -> str:
+    names, real, home = ("wx", "wy", "wz"), ("po.x", "po.y", "po.z"), ("ct.x", "ct.y", "ct.z")
+    cols = [f"{c} as {k}" for c, k in zip(fx.sql_wrap(real), ("rx", "ry", "rz"))] + [f"{c} as {k}" for c, k in zip(fx.sql_wrap(home), names)] + [f"floor({c}) as {k}" for c, k in zip(fx.sql_fractional(real), ("i", "j", "k"))]
+    rows = " union all ".join(f"select frame, mobile, {code} as code, sqrt(pow({q[0]} - rx, 2) + pow({q[1]} - ry, 2) + pow({q[2]} - rz, 2)) as dist from w where site >= 0" for code, q in fx.sql_images(names))
+    shift = fx.sql_cartesian(("(i + code // 100 - 1)", "(j + code // 10 % 10 - 1)", "(k + code % 10 - 1)"))
+    at = ", ".join(f"round(case when w.site < 0 then w.{c} else w.{n} + {s} end, 6) as {c}" for c, n, s in zip("xyz", names, shift))
+    return f"""with {fx.POSITIONS}, {fx.CENTERS}, w as (select frame, mobile, site, po.x, po.y, po.z, {', '.join(cols)} from po left join ct on ct.id = po.site),
+a as ({rows}), m as (select frame, mobile, arg_min(code, (round(dist, 9), code)) as code from a group by all)
+select w.frame, w.mobile, {at} from w left join m on m.frame = w.frame and m.mobile = w.mobile"""
+
+
+@query(_clamped_sql())
 def clamped_nearest_image(spark, sf_dir):
     return positions.clamped(fx.positions(spark, sf_dir), _nation_sites(spark, sf_dir), CELL).select("frame", "mobile", *(_r(c).alias(c) for c in "xyz"))
 
@@ -479,13 +495,13 @@ def leader_clusters_two_level(spark, sf_dir):
 
 
 def _elbow_sql() -> str:
-    return """with c as (select label, sum(abs(cast(embedding[1] as double))) as v from embeddings group by label), r as (select v, row_number() over (order by v desc) - 1 as i from c),
+    return """with c as (select label, sum(list_sum(list_transform(embedding, lambda x: abs(cast(x as double))))) as v from embeddings group by label), r as (select v, row_number() over (order by v desc) - 1 as i from c),
 e as (select max(i) as n, max(v) as hi, min(v) as lo from r), d as (select i, round(abs(n * (v - hi) - i * (lo - hi)), 9) as d from r cross join e) select cast(arg_max(i, (d, -i)) as integer) as elbow from d"""
 
 
 @query(_elbow_sql())
 def elbow(spark, sf_dir):
-    curve = fx.vectors(spark, sf_dir).groupBy("label").agg(F.sum(F.abs(F.col("v")[0])).alias("value"))
+    curve = fx.vectors(spark, sf_dir).groupBy("label").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x))).alias("value"))
     return elbow_index(curve, "value")
 
 
@@ -501,12 +517,12 @@ def pca_types(spark, sf_dir):
     return descriptors.site_types(rows)[0].withColumn("share", _r("share"))
 
 
-@query("with r as (select vec_id, label, (row_number() over (partition by label order by vec_id) - 1) // 5 as grp, count(*) over (partition by label) as n, cast(embedding[1] as double) as x from embeddings) select cast(label as integer) as site_id, grp, round(avg(x), 6) as first from r where grp < n // 5 group by label, grp")
+@query("with r as (select vec_id, label, (row_number() over (partition by label order by vec_id) - 1) // 5 as grp, count(*) over (partition by label) as n, embedding as e from embeddings) select cast(label as integer) as site_id, grp, cast(p as integer) as pos, round(avg(cast(e[p + 1] as double)), 6) as value from r cross join (select unnest(range(64)) as p) where grp < n // 5 group by label, grp, p")
 def consecutive_averages(spark, sf_dir):
     rows = fx.vectors(spark, sf_dir).select(F.col("vec_id").alias("frame"), F.lit(0).alias("mobile"), F.col("label").alias("site"), "v")
     found = descriptors.consecutive_averages(rows, averaging=5)
     order = Window.partitionBy("site_id").orderBy("sample_id")
-    return found.select("site_id", (F.row_number().over(order) - 1).cast("long").alias("grp"), _r(F.col("v")[0]).alias("first"))
+    return found.withColumn("grp", (F.row_number().over(order) - 1).cast("long")).select("site_id", "grp", F.posexplode("v").alias("pos", "value")).withColumn("value", _r("value"))
 
 
 # ---- graph
@@ -571,6 +587,37 @@ def merge_by_threshold(spark, sf_dir):
     return merge.run(trajectory.SiteTrajectory(network, fx.graph_daily(spark, sf_dir))).assign.select("frame", "mobile", "site")
 
 
+def _merged_sql(rest: str = "") -> str:
+    """Merged sites from a CTE c (site_id, g): unweighted periodic means of the members' centers."""
+    moved = fx.sql_recentred(("x", "y", "z"), ("px", "py", "pz"))
+    back = fx.sql_wrap(tuple(f"({a} - {float(c)!r}e0 + {p})" for a, c, p in zip(("mx", "my", "mz"), CELL.centroid, ("px", "py", "pz"))))
+    return f""", q1 as (select c.site_id, g, x, y, z, first_value(x) over v as px, first_value(y) over v as py, first_value(z) over v as pz from c join ct on ct.id = c.site_id window v as (partition by g order by c.site_id)),
+q2 as (select g, px, py, pz, {', '.join(f'avg({c}) as {k}' for c, k in zip(moved, ('mx', 'my', 'mz')))} from q1 group by g, px, py, pz)
+select cast(row_number() over (order by q2.g) - 1 as integer) as site_id, {_xyz(back, ('cx', 'cy', 'cz'))}{rest}"""
+
+
+_STRONG = "r as (select site_id as a, site_id as b from s25 union select r.a, k.b from r join k on k.a = r.b), c as (select x.a as site_id, min(x.b) as g from r x join r y on y.a = x.b and y.b = x.a group by x.a)"
+
+
+def _apart(a: str, b: str, i: str, j: str) -> str:
+    """Distance between the sites i, j at a and b: of the one with the lower number to the other."""
+    p, q = tuple(f"{a}.{c}" for c in "xyz"), tuple(f"{b}.{c}" for c in "xyz")
+    return f"case when {i} = {j} then 0e0 when {i} < {j} then {fx.sql_distance(p, q)} else {fx.sql_distance(q, p)} end"
+
+
+@query(f"""with recursive {_COUNTS}, {fx.CENTERS}, k as (select nij.src as a, nij.dst as b from nij join ct a on a.id = src join ct b on b.id = dst where n_ij >= 2 and {_apart('a', 'b', 'src', 'dst')} <= 6),
+{_STRONG}{_merged_sql(", (select string_agg(v, ' ' order by v) from (select distinct unnest([c.site_id, c.site_id * 7 % 25]) as v from c where c.g = q2.g)) as vertices, (select count(*) from c where c.g = q2.g) as n from q2")}""")
+def merged_centers(spark, sf_dir):
+    network = _network(spark, sf_dir)
+    k = F.col("site_id")
+    network = SiteNetwork(network.atoms, CELL, network.sites.drop("site_type").withColumn("vertices", F.array(k, (k * 7 % 25).cast("int"))), network.edges)
+    merge = merging.MergeSitesByThreshold(check_types=False, threshold=2, distance_threshold=6.0, weighted_spatial_average=False, set_merged_into=True)
+    out = merge.run(trajectory.SiteTrajectory(network, fx.graph_daily(spark, sf_dir))).network.sites
+    sizes = merge.merged_from.sites.groupBy(F.col("merged_into").alias("site_id")).agg(F.count("*").alias("n"))
+    text = F.array_join(F.transform("vertices", lambda v: v.cast("string")), " ").alias("vertices")
+    return out.join(sizes, "site_id").select("site_id", *(_r(c).alias(c) for c in ("cx", "cy", "cz")), text, "n")
+
+
 @query()
 def merge_by_dynamics(spark, sf_dir):
     merge = merging.MergeSitesByDynamics(check_types=False, distance_threshold=6.0, post_check_factor=None, weighted_spatial_average=False)
@@ -578,7 +625,22 @@ def merge_by_dynamics(spark, sf_dir):
     return out.network.sites.select("site_id", *(_r(c).alias(c) for c in ("cx", "cy", "cz")))
 
 
-@query()
+def _barrier_sql() -> str:
+    rows = " union all ".join(f"select i, j, {code} as code, {q[0]} as x, {q[1]} as y, {q[2]} as z, sqrt(pow({q[0]} - ax, 2) + pow({q[1]} - ay, 2) + pow({q[2]} - az, 2)) as dist from p" for code, q in fx.sql_images(("ex", "ey", "ez")))
+    r = fx.sql_distance(("g.x", "g.y", "g.z"), ("pt.x", "pt.y", "pt.z"))
+    return f"""with recursive {_COUNTS}, {fx.CENTERS}, {fx.POINTS}, near as (select nij.src, nij.dst from nij join ct a on a.id = src join ct b on b.id = dst where n_ij >= 1 and src <> dst and {_apart('a', 'b', 'src', 'dst')} <= 4),
+p as (select i, j, a.x as ax, a.y as ay, a.z as az, b.x as ex, b.y as ey, b.z as ez from (select distinct least(src, dst) as i, greatest(src, dst) as j from near) join ct a on a.id = i join ct b on b.id = j),
+im as ({rows}), q as (select i, j, arg_min((x, y, z), (round(dist, 9), code)) as q from im group by all),
+gi as (select p.i, p.j, image, ax + image / 19e0 * (q.q[1] - ax) as x, ay + image / 19e0 * (q.q[2] - ay) as y, az + image / 19e0 * (q.q[3] - az) as z from p join q on q.i = p.i and q.j = p.j, (select unnest(range(20)) as image)),
+en as (select i, j, image, coalesce(sum(4 * (pow(s, 12) - pow(s, 6))), 0) as energy from (select g.i, g.j, g.image, 1 / greatest(r, 1e-3) as s from (select g.i, g.j, g.image, {r} as r from gi g cross join pt) g where r <= 5) group by all),
+ea as (select g.i, g.j, g.image, coalesce(energy, 0e0) as energy from gi g left join en on en.i = g.i and en.j = g.j and en.image = g.image),
+t as (select i, j, arg_max(image, (energy, -image)) as peak, max(energy) as top, arg_min(energy, image) as first, arg_max(energy, image) as last from ea group by all),
+k as (select i as a, j as b from t where peak not in (0, 19) and top - first <= 5 union all select j, i from t where peak not in (0, 19) and top - last <= 5
+      union all select src, dst from near join t on i = least(src, dst) and j = greatest(src, dst) where peak in (0, 19)),
+{_STRONG}{_merged_sql(' from q2')}"""
+
+
+@query(_barrier_sql())
 def merge_by_barrier(spark, sf_dir):
     merge = merging.MergeSitesByBarrier(check_types=False, maximum_pairwise_distance=4.0, barrier_threshold=5.0, weighted_spatial_average=False)
     out = merge.run(trajectory.SiteTrajectory(_network(spark, sf_dir), fx.graph_daily(spark, sf_dir)))
@@ -593,7 +655,25 @@ def mcl_clusters(spark, sf_dir):
     return graph.markov_clusters(edges, sites, "n_ij")
 
 
-@query()
+def _periodic_sql() -> str:
+    names = ("ex", "ey", "ez")
+    rows = " union all ".join(f"select src, dst, {code} as code, sqrt(pow({q[0]} - ax, 2) + pow({q[1]} - ay, 2) + pow({q[2]} - az, 2)) as dist from p" for code, q in fx.sql_images(names))
+    a, b = fx.sql_wrap(("a.x", "a.y", "a.z")), fx.sql_wrap(("b.x", "b.y", "b.z"))
+    return f"""with recursive {_COUNTS}, {fx.CENTERS}, p as (select src, dst, {', '.join(f'{c} as {k}' for c, k in zip(a, ('ax', 'ay', 'az')))}, {', '.join(f'{c} as {k}' for c, k in zip(b, names))} from nij join ct a on a.id = src join ct b on b.id = dst where n_ij >= 2 and src <> dst),
+im as ({rows}), ed as (select src, dst, arg_min(code, (round(dist, 9), code)) as code from im group by all),
+sup as (select src * 27 + i * 9 + j * 3 + k as a, dst * 27 + (i + code // 100 - 1) * 9 + (j + code // 10 % 10 - 1) * 3 + k + code % 10 - 1 as b
+        from ed, (select unnest(range(3)) as i), (select unnest(range(3)) as j), (select unnest(range(3)) as k) where i + code // 100 - 1 between 0 and 2 and j + code // 10 % 10 - 1 between 0 and 2 and k + code % 10 - 1 between 0 and 2),
+both_ as (select a, b from sup union select b, a from sup), r as (select range as a, range as b from range(675) union select r.a, x.b from r join both_ x on x.a = r.b),
+c as (select a as node, min(b) as comp from r group by a), mid as (select distinct comp from c where node % 27 = 13),
+m as (select distinct comp, node // 27 as site_id, node % 27 as image from c where comp in (select comp from mid)),
+perc as (select distinct comp from (select comp, site_id from m group by all having count(*) > 1)), ms as (select distinct comp, site_id from m where comp in (select comp from perc)),
+j as (select comp as a, comp as b from perc union select j.a, y.comp from j join ms x on x.comp = j.b join ms y on y.site_id = x.site_id),
+joint as (select a as comp, min(b) as grp from j group by a), f as (select grp, min(site_id) as first from ms join joint on joint.comp = ms.comp group by grp), n as (select grp, row_number() over (order by first) - 1 as pathway from f),
+o as (select distinct site_id, pathway from ms join joint on joint.comp = ms.comp join n on n.grp = joint.grp)
+select s25.site_id, cast(coalesce(pathway, -1) as integer) as pathway from s25 left join o on o.site_id = s25.site_id"""
+
+
+@query(_periodic_sql())
 def periodic_pathways(spark, sf_dir):
     return pathways.periodic_pathways(_threshold(spark, sf_dir), _nation_sites(spark, sf_dir), CELL, 2)[0]
 
