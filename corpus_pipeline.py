@@ -2,6 +2,15 @@
 
 Each stage takes the documents its predecessor kept; all but the last return
 the columns of ``documents``.
+
+Defined cases: null text is empty text (scored as such, linked with nothing,
+packed as the end id); without labels of both kinds the quality stage gives
+every document the labels' mean, 0.5 without labels, which is under its
+threshold, and the toxicity stage uses its built-in weights; rows that repeat
+an id are scored each, are one document to the near-duplicate stage and are
+packed each; a null id is kept by it; equal texts have equal scores; very long
+texts are read whole; empty tables give no rows; other columns pass through
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrail.llm import quality, toxicity
-from kinetrail.llm.common import documents, fold, stored, tokenizer_path
+from kinetrail.llm.common import dispose, documents, fold, stored, tokenizer_path
 from kinetrail.llm.near_dedup import drop_near_duplicates
 from kinetrail.llm.packing import pack_documents
 
@@ -46,6 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir), name)
+        if i:
+            dispose(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
