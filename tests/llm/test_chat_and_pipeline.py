@@ -10,7 +10,7 @@ from kinetrail.llm import quality, toxicity
 from kinetrail.llm.common import fold
 from kinetrail.llm.preferences import format_preferences, self_pairs
 
-from .fixtures import words
+from .fixtures import AWKWARD, documents, words
 from .test_search_and_dedup import classes, sets_of
 
 PAIRS = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string, id int"
@@ -129,3 +129,28 @@ def test_run_equals_its_stages(spark, folder):
     d, _, kinds = folder
     got = {r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()}
     assert got == {i for i, k in kinds.items() if k == "clean"}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_of_awkward_tables(spark, tmp_path, labelled):
+    draw = random.Random(31)
+    texts = AWKWARD + [words(draw, 60) for _ in range(30)] + [words(draw, 30) + " idiot moron scum"] * 3 + ["### $$$ " * 40] * 12 + ["word of " * 30_000]
+    ids = [None, 1, 1, *range(3, len(texts))]
+    docs = documents(spark, texts, ids=ids)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, int("###" not in (t or "")), int("idiot" in (t or ""))) for i, t in zip(ids, texts)] if labelled else []
+    spark.createDataFrame([*rows, (None, 1, 1), (7, None, None)][: None if labelled else 0], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if not labelled:
+        assert not found
+        return
+    left = {r.doc_id for r in found}
+    bad = {i for i, t in zip(ids, texts) if "###" in (t or "") or "idiot" in (t or "")}
+    assert left and not left & bad
+    pieces = {}
+    for r in found:
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    assert sum(pieces[i] for i in left if i not in (None, 1)) == sum({r.doc_id: r.doc_tokens for r in found if r.doc_id not in (None, 1)}.values())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
