@@ -131,6 +131,16 @@ def test_components_and_markov_clusters(spark):
     assert strong == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strong_components_by_tables(spark, monkeypatch, seed):
+    draw = np.random.default_rng(seed)
+    edges = spark.createDataFrame([tuple(map(int, draw.integers(0, 18, 2))) for _ in range(22)], "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in range(20)], "site_id int")
+    want = {tuple(r) for r in graph.strong_components(edges, nodes).collect()}
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 3)
+    assert {tuple(r) for r in graph.strong_components(edges, nodes).collect()} == want and len(want) == 20
+
+
 def flow_clusters(m, expansion, inflation):
     """Markov clusters of a dense matrix, column after column."""
     n = len(m)
