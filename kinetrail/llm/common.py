@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +72,12 @@ def dispose(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage: Spark deletes the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_fs(uri: str):
     """``(filesystem, path)`` of a URI or a plain path, for use inside a task."""
     from pyarrow import fs

@@ -13,10 +13,12 @@
    the full sets, and links are contracted to components.
 4. Buckets that still hold several components are searched for links between
    them, blockwise, blocks being bounded by members and by shingles: a task
-   compares the sketches of two blocks, takes only
-   pairs whose first common band this is, confirms those that could be links
-   on the sets at hand, and gives links between components it has not joined
-   yet.  Nothing is dropped, and linked pairs are never all listed.
+   compares the sketches of two blocks and takes only pairs whose first common
+   band this is.  Where those that could be links are few (two for each member
+   of the bucket), they are confirmed as pairs.  Other buckets are searched
+   by tasks with the sets at hand, which give links between components they
+   have not joined yet.  Nothing is dropped, and linked pairs are never all
+   listed.
 
 At similarity J the chance that no band agrees is (1 - J^6)^42: 6e-9 at 0.85,
 5e-6 at 0.8.  An estimate rules a pair out only six standard errors below the
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dispose, sliced, stored
+from .common import clean_shuffles, dispose, sliced, stored
 
 BUCKETS = 256
 BAND, BANDS = 6, 42
@@ -48,6 +50,8 @@ MANTISSA = 10
 SHINGLE = 5
 #: Members, and shingles in all, that a block of a bucket should have at most.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Hopeful pairs that a bucket may have for each of its members before sets are sent to its tasks.
+CANDIDATES = 2
 #: Rows a broadcast may have; beyond it the same join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: Pairs of one key that a task should have at most.
@@ -162,7 +166,7 @@ def hopeful(same: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
 
 
 def band_column(registers_: str) -> Column:
-    """Band keys of sketches: made where they are wanted, not stored beside the registers."""
+    """Band keys of sketches, for class representatives alone."""
 
     @F.pandas_udf("array<long>")
     def keys(r: pd.Series) -> pd.Series:
@@ -267,7 +271,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str, tex
 
 def _star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     """Each bucket's members with its smallest one, where sizes and estimate leave hope."""
-    rows = reps.select("id", F.explode(band_column("registers")).alias("key"))
+    rows = reps.select("id", F.explode("bands").alias("key"))
     buckets = stored(rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("count")).where("count > 1"), "buckets")
     total = buckets.agg(F.sum("count")).first()[0] or 0
     with_least = _spread_join(rows, buckets.select("key", "a"), "key", "id", buckets.select("key", "count"), total)
@@ -287,30 +291,95 @@ def _star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     return hopeful_pairs
 
 
-def _cross_links(docs: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links between the components that share a bucket."""
-    named = reps.join(comps, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), band_column("registers").alias("bands"))
+def _mixed(reps: DataFrame, comps: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(id, component, band, key, blocks) of the members of buckets (of *keys*, if given) that hold several components."""
+    named = reps.join(comps, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "bands")
     rows = named.select("id", "n", "component", F.posexplode("bands").alias("band", "key"))
+    if keys is not None:
+        rows = rows.join(keys, "key", "left_semi")
     sizes = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"), F.sum("n").alias("shingles"))
-    # A bucket of many members or long ones is dealt to blocks: each member goes to the tasks of its block with every block.
+    # A bucket of many members or long ones is dealt to blocks.
     blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     mixed = stored(sizes.where("low < high").select("key", "count", blocks.alias("blocks")), "mixed-keys")
     total = mixed.agg(F.sum("count")).first()[0] or 0
     members = stored(_spread_join(rows, mixed.select("key", "blocks"), "key", "id", mixed.select("key", "count"), total).drop("n"), "mixed")
-    sets = _sets(docs, members.select("id").distinct(), id_col, text_col)
-    full = stored(sets.join(reps.select("id", "registers"), "id"), "mixed-sets")
+    dispose(mixed)
+    return members
+
+
+def _spread(members: DataFrame) -> DataFrame:
+    """Each member goes to the tasks of its block with every block."""
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("id", "component", "band", "key", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    return spread.select("id", "component", "band", "key", "blocks", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+
+def _cross_links(docs: DataFrame, reps: DataFrame, near: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between the components that share a bucket.
+
+    First the sketches alone are compared; a bucket with more hopeful pairs
+    than ``CANDIDATES`` for each member is searched with the sets at hand.
+    """
+    first = components(near)
+    members = _mixed(reps, first)
+    sketches = reps.select("id", "n", "registers")
+    found = _spread(members).join(sketches, "id").groupBy("key", "low", "high").applyInArrow(lambda table: _block_pairs(table, percent), "a long, b long, key long")
+    found = stored(found, "cross-pairs")
+    for table in (members, first):
+        dispose(table)
+    candidates = stored(found.where("a is not null").select("a", "b").distinct(), "cross-candidates")
+    links = _confirmed(docs, candidates, percent, id_col, text_col)
+    keys = stored(found.where("a is null").select("key").distinct(), "cross-keys")
+    for table in (candidates, found):
+        dispose(table)
+    if not keys.limit(1).count():
+        return links
+    now = components(near.unionByName(links))
+    members = _mixed(reps, now, keys)
+    sets = _sets(docs, members.select("id").distinct(), id_col, text_col)
+    full = stored(sets.join(reps.select("id", "registers"), "id"), "mixed-sets")
 
     def link(table: pa.Table) -> pa.Table:
-        found = _block_links(table, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        rest = _block_links(table, percent)
+        return pa.table({"a": pa.array([x for x, _ in rest], pa.int64()), "b": pa.array([y for _, y in rest], pa.int64())})
 
-    links = stored(spread.join(full, "id").groupBy("key", "low", "high").applyInArrow(link, "a long, b long"), "cross")
-    for table in (mixed, members, full):
+    rest = stored(_spread(members).join(full, "id").groupBy("key", "low", "high").applyInArrow(link, "a long, b long"), "cross")
+    both = stored(links.unionByName(rest), "cross-links")
+    for table in (now, keys, members, full, links, rest):
         dispose(table)
-    return links
+    return both
+
+
+def _hopeful_of(i: int, label, n, sketches, mine, low: int, high: int, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, agreement) of those rows of other components with which row i could be linked and first agrees in this band."""
+    ok = (label != label[i]) & (mine == high)
+    if low == high:
+        ok[: i + 1] = False
+    others = np.flatnonzero(ok & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+    if not len(others):
+        return others, np.zeros(0)
+    equal = sketches[others] == sketches[i]
+    same = equal.mean(1)
+    agree = equal[:, : BAND * BANDS].reshape(len(others), BANDS, BAND).all(2)
+    good = (agree.argmax(1) == band) & hopeful(same, n[others], n[i], percent)
+    return others[good], same[good]
+
+
+def _block_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """The hopeful pairs of a block pair between components; if they are many, a row without a and b instead."""
+    ids, comps = table["id"].to_numpy(), table["component"].to_numpy()
+    mine, n = table["mine"].to_numpy(), table["n"].to_numpy().astype("i8")
+    low, high, band, key, blocks = (table[c][0].as_py() for c in ("low", "high", "band", "key", "blocks"))
+    sketches = np.frombuffer(b"".join(table["registers"].to_pylist()), "u2").reshape(len(ids), BUCKETS)
+    a, b, left = [], [], CANDIDATES * len(ids) // blocks
+    for i in np.flatnonzero(mine == low) if len(set(comps.tolist())) > 1 else ():
+        others, _ = _hopeful_of(i, comps, n, sketches, mine, low, high, band, percent)
+        left -= len(others)
+        if left < 0:
+            return pa.table({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64()), "key": pa.array([key], pa.int64())})
+        a += [int(ids[i])] * len(others)
+        b += ids[others].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array([key] * len(a), pa.int64())})
 
 
 def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -331,19 +400,10 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
     code = {c: i for i, c in enumerate(parent)}
     label = np.array([code[c] for c in comps])
-    left, found = np.flatnonzero(mine == low), []
-    for i in left:
-        ok = (label != label[i]) & (mine == high)
-        if low == high:
-            ok[: i + 1] = False
-        others = np.flatnonzero(ok & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        if not len(others):
-            continue
-        equal = sketches[others] == sketches[i]
-        same = equal.mean(1)
-        agree = equal[:, : BAND * BANDS].reshape(len(others), BANDS, BAND).all(2)
-        good = (agree.argmax(1) == band) & hopeful(same, n[others], n[i], percent)
-        for j in others[good][np.argsort(-same[good], kind="stable")]:
+    found = []
+    for i in np.flatnonzero(mine == low):
+        others, same = _hopeful_of(i, label, n, sketches, mine, low, high, band, percent)
+        for j in others[np.argsort(-same, kind="stable")]:
             a, b = root(comps[i]), root(comps[j])
             if a == b:
                 continue
@@ -361,20 +421,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     usable = sketches.where("n > 0 and id is not null")
     classes = stored(usable.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     chosen = classes.select(F.col("rep").alias("id"), "f1", "f2")
-    reps = stored(full.where("n > 0 and id is not null").join(chosen, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "registers"), "reps")
+    reps = stored(full.where("n > 0 and id is not null").join(chosen, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "registers", band_column("registers").alias("bands")), "reps")
     dispose(full)
     pairs = _star_pairs(reps, percent)
     near = _confirmed(docs, pairs, percent, id_col, text_col)
     dispose(pairs)
-    first = components(near)
-    cross = _cross_links(docs, reps, first, percent, id_col, text_col)
+    clean_shuffles(docs.sparkSession)
+    cross = _cross_links(docs, reps, near, percent, id_col, text_col)
     dispose(reps)
-    dispose(first)
     comps = components(near.unionByName(cross))
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")
     for table in (near, cross, comps, classes):
         dispose(table)
+    clean_shuffles(docs.sparkSession)
     # Fingerprints of at least a thousandth of the rows, a thousand at most, go to every task; the others are shuffled.
     total = sketches.count()
     hot = F.broadcast(named.where(F.col("size") * 1000 > total).select("f1", "f2", F.col("component").alias("hot")))

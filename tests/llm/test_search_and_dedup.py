@@ -127,9 +127,11 @@ def test_a_hot_group_whose_links_run_through_one_text(spark):
     assert got == dict(zip(ids, classes(ids, sets_of(texts), 85)))
 
 
-def test_blocks_of_a_large_bucket_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("candidates", [0, 2, 1000])
+def test_blocks_of_a_large_bucket_lose_nothing(spark, monkeypatch, candidates):
     from kinetrail.llm import near_dedup
 
+    monkeypatch.setattr(near_dedup, "CANDIDATES", candidates)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
     monkeypatch.setattr(near_dedup, "HOT_PAIRS", 4)
