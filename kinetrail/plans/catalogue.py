@@ -446,7 +446,7 @@ def _centers(spark, sf_dir) -> DataFrame:
     return fx.vectors(spark, sf_dir).groupBy("label").agg(F.min_by("v", "vec_id").alias("v")).withColumnRenamed("label", "center")
 
 
-def _predict_sql(least: int) -> str:
+def _predict_sql(least: int | str) -> str:
     return f"""with {_CV}, s as (select v.vec_id, c.center, round(abs(list_inner_product(v.e, c.e) / sqrt(list_inner_product(v.e, v.e)) / sqrt(list_inner_product(c.e, c.e))), 9) as sim from v cross join c),
 b as (select vec_id, arg_max(center, (sim, -center)) as k, max(sim) as sim from s group by vec_id),
 a as (select vec_id, case when sim >= 3e-1 then k else -1 end as label, case when sim >= 3e-1 then sim else 0e0 end as confidence from b), z as (select label from a where label >= 0 group by label having count(*) >= {least})"""

@@ -193,11 +193,11 @@ def points_around(spark, sf_dir):
 # ---- vectors and descriptors
 
 
-@query(_predict_sql(12).replace("z as (", "z as materialized (") + """, c2 as (select * from c where center in (select label from z)), k2 as (select center, row_number() over (order by center) - 1 as k from c2),
+@query(_predict_sql("greatest(floor(5e-2 * (select count(*) from a where label >= 0)), 1)") + """, c2 as (select * from c where center in (select label from z)), k2 as (select center, row_number() over (order by center) - 1 as k from c2),
 s2 as (select v.vec_id, k2.k, round(abs(list_inner_product(v.e, c2.e) / sqrt(list_inner_product(v.e, v.e)) / sqrt(list_inner_product(c2.e, c2.e))), 9) as sim from v cross join c2 join k2 on k2.center = c2.center),
 b2 as (select vec_id, arg_max(k, (sim, -k)) as k, max(sim) as sim from s2 group by vec_id) select vec_id, cast(case when sim >= 3e-1 then k else -1 end as integer) as label, round(case when sim >= 3e-1 then sim else 0e0 end, 6) as confidence from b2""")
 def cosine_fit_predict(spark, sf_dir):
-    labels, _ = clustering.fit_predict(fx.vectors(spark, sf_dir), 0.3, 12, centers=_centers(spark, sf_dir))
+    labels, _ = clustering.fit_predict(fx.vectors(spark, sf_dir), 0.3, 0.05, centers=_centers(spark, sf_dir))
     return labels.withColumn("confidence", _r("confidence"))
 
 

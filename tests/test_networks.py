@@ -131,7 +131,7 @@ def test_components_and_markov_clusters(spark):
     assert strong == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_strong_components_by_tables(spark, monkeypatch, seed):
     draw = np.random.default_rng(seed)
     edges = spark.createDataFrame([tuple(map(int, draw.integers(0, 18, 2))) for _ in range(22)], "src int, dst int")

@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -32,12 +33,19 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def rows(spark):
+    """The queries' rows, several at a time: small ones mostly wait for their planning."""
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(lambda f=QUERIES[name]: f(spark, str(DATA)).toPandas()) for name in sorted(ORACLES)}
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_spark_equals_sql(spark, duck, name):
+def test_spark_equals_sql(rows, duck, name):
     want = duck.sql(ORACLES[name]).df()
     key = sorted(want.columns)
-    got = QUERIES[name](spark, str(DATA)).toPandas()
+    got = rows[name].result()
     assert sorted(got.columns) == key and len(want) == len(got)
 
     def plain(df):
