@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InsufficientCoordinatingAtomsError
 from ..functions.geometry import Cell, nearest_image, periodic_mean, point, staged
-from ..functions.hulls import convex_hull, voronoi_nodes
+from ..functions.hulls import convex_hull, flat_area, voronoi_nodes
 from .network import SiteNetwork
 from .series import site_ranks
 from .trajectory import SiteTrajectory
@@ -151,7 +151,10 @@ def _on_hull(p: np.ndarray) -> np.ndarray:
 
 
 def site_volumes(network: SiteNetwork, error_on_insufficient: bool = True) -> DataFrame:
-    """(site_id, volume, area) of each site's vertices about its center; with fewer than four vertices an error, or 0 and null."""
+    """(site_id, volume, area) of each site's vertices about its center; with fewer than four vertices an error, or 0 and null.
+
+    Vertices in one plane (or in one place) have no volume and the area of both sides.
+    """
     cell = network.cell
     vertices = network.sites.select("site_id", "cx", "cy", "cz", F.size("vertices").alias("n"), F.explode_outer("vertices").alias("static_idx"))
     if error_on_insufficient and (short := vertices.where("n < 4").limit(1).collect()):
@@ -160,8 +163,10 @@ def site_volumes(network: SiteNetwork, error_on_insufficient: bool = True) -> Da
     moved = at.select("site_id", "n", *(c.alias(k) for c, k in zip(cell.recentred(point("x", "y", "z"), point("cx", "cy", "cz")), "xyz")))
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        enough = pdf["n"].iloc[0] >= 4
-        volume, area = convex_hull(pdf[["x", "y", "z"]].to_numpy()) if enough else (0.0, float("nan"))
+        p, enough = pdf[["x", "y", "z"]].to_numpy(), pdf["n"].iloc[0] >= 4
+        volume, area = convex_hull(p) if enough else (0.0, float("nan"))
+        if enough and np.isnan(volume) and not np.isnan(area := flat_area(p)):
+            volume = 0.0
         return pd.DataFrame({"site_id": [pdf["site_id"].iloc[0]], "volume": [volume], "area": [area]})
 
     found = moved.groupBy("site_id").applyInPandas(measure, "site_id int, volume double, area double")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions.elbow import elbow_index
 from kinetrail.functions.geometry import Cell, near_pairs, pairwise_distances, periodic_mean, point, recenter
-from kinetrail.functions.hulls import convex_hull, voronoi_nodes
+from kinetrail.functions.hulls import convex_hull, flat_area, voronoi_nodes
 
 CUBE = Cell.of([[10, 0, 0], [0, 10, 0], [0, 0, 10]])
 SKEW = Cell.of([[10, 0, 0], [2, 9, 0], [1, 1.5, 8]])
@@ -97,3 +97,11 @@ def test_nearest_image_equals_min_image(spark, cell):
     for r in nearest_image(df.withColumn("m", cell.min_image(ref, q)), cell, ref, q).collect():
         assert r.m.code == r.image_code and r.m.distance == pytest.approx(r.image_distance) and (r.m.x, r.m.y, r.m.z) == pytest.approx((r.image_x, r.image_y, r.image_z))
     assert nearest_image(df, cell, ref, q).columns[-5:] == ["image_code", "image_x", "image_y", "image_z", "image_distance"]
+
+
+def test_flat_area_counts_both_sides():
+    square = np.array([[0, 0, 0], [2, 0, 0], [0, 2, 0], [2, 2, 0], [1, 0.5, 0]]) @ np.linalg.qr(np.random.default_rng(1).normal(size=(3, 3)))[0] + 5
+    assert flat_area(square) == pytest.approx(8.0) and flat_area(square[[0, 1, 2, 2]]) == pytest.approx(4.0)
+    assert flat_area(square[[0, 1, 4, 2]]) == pytest.approx(4.0)  # one inside the triangle
+    assert flat_area(square[[0, 0, 1, 1]]) == pytest.approx(0.0, abs=1e-12) and flat_area(square[[1, 1, 1, 1]]) == 0
+    assert np.isnan(flat_area(np.full((4, 3), np.nan)))

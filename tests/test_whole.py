@@ -158,3 +158,16 @@ def test_dense_matrix_raises_beyond_its_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "DRIVER_EDGES", 2)
     with pytest.raises(ValueError):
         graph.dense_matrix(edges, "n_ij", 3)
+
+
+def test_sites_of_flat_vertices_have_no_volume_but_an_area(spark):
+    from kinetrail.functions.geometry import Cell
+    from kinetrail.operators.network import SiteNetwork
+    from kinetrail.operators.positions import site_volumes
+
+    at = [(1.0, 1.0, 2.0), (3.0, 1.0, 2.0), (1.0, 3.0, 2.0), (3.0, 3.0, 2.0), (1.0, 1.0, 4.0)]
+    atoms = spark.createDataFrame([(i, 8, "O", 16.0, *p, True, False, i, None) for i, p in enumerate(at)], "atom_id int, atomic_number int, symbol string, mass double, x double, y double, z double, is_static boolean, is_mobile boolean, static_idx int, mobile_idx int")
+    sites = spark.createDataFrame([(0, 2.0, 2.0, 2.0, [0, 1, 2, 3]), (1, 2.0, 2.0, 2.0, [0, 1, 2, 2]), (2, 2.0, 2.0, 2.0, [4, 4, 4, 4]), (3, 2.0, 2.0, 2.0, [0, 1, 2, 4])], "site_id int, cx double, cy double, cz double, vertices array<int>")
+    found = {r.site_id: (r.volume, r.area) for r in site_volumes(SiteNetwork(atoms, Cell.of(np.eye(3) * 10), sites)).collect()}
+    assert found[0] == pytest.approx((0.0, 8.0)) and found[1] == pytest.approx((0.0, 4.0)) and found[2] == (0.0, 0.0)
+    assert found[3] == pytest.approx((4 / 3, 6 + 2 * 3**0.5))
