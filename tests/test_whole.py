@@ -252,3 +252,20 @@ def test_density_peaks_compare_each_pair_of_different_vectors_once(monkeypatch,
     found = {r.sample_id: r for r in descriptors.density_peaks(rows).collect()}
     assert {a[:2] for a in starts} == {(0, 1)} and len(found) == 1000
     assert all(found[i].parent == i % 40 and found[i].delta == 0 for i in range(40, 1000))
+
+
+@needs_data
+def test_type_decisions_of_copies_compare_each_vector_once(spark, tmp_path, monkeypatch):
+    """The decisions over three copies of every vector go through tiles of the different ones, and name the first copies."""
+    from kinetrail.plans import structures
+
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    n = rows.count()
+    rows.crossJoin(spark.range(3)).selectExpr("vec_id + 1000000 * id as vec_id", "embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sizes = []
+    monkeypatch.setattr(descriptors, "_TILE", n)
+    kept = type(spark).range
+    monkeypatch.setattr(type(spark), "range", lambda self, *a: sizes.append(a[:2]) or kept(self, *a))
+    got = structures.type_decisions(spark, str(tmp_path)).collect()
+    assert (0, 1) in sizes and len(got) == 30
+    assert all(r.sample_id < 1000000 for r in got if r.decision > 0)
